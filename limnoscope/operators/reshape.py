@@ -56,30 +56,11 @@ def scene_records(
     return rows.where(F.col("value").isNotNull()).select(*RECORD)
 
 
-def scene_and_point_records(
-    best: DataFrame,
-    points: DataFrame,
-    names: Sequence[str],
-    bins: Mapping[str, Sequence[float]] | None = None,
-) -> DataFrame:
-    """Records of chosen scenes and of the points inside them.
-
-    Points of a scene are gathered as one short array first (a scene has as many entries as its
-    reservoir has points), so the scenes are evaluated once for both kinds of record.
-    """
-    values = F.struct("point", *[F.col(f"`{n}`").alias(f"v{i}") for i, n in enumerate(names)])
-    gathered = points.groupBy(*SCENE_KEYS).agg(F.collect_list(values).alias("_points"))
-    joined = best.join(gathered, list(SCENE_KEYS), "left")
-    at_points = [
-        F.transform(
-            F.col("_points"),
-            lambda p, n=n, i=i: _entry(p["point"], ESTIMATED, F.lit(n), p[f"v{i}"]),
-        )
-        for i, n in enumerate(names)
-    ]
-    scene_part = F.array(*_scene_entries(names, bins))
-    whole = F.when(F.col("_points").isNull(), scene_part).otherwise(F.concat(scene_part, *at_points))
-    rows = joined.select("reservoir_id", F.col("scene_ts").alias("ts"), F.inline(whole))
+def point_records(best: DataFrame, points: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Long records of the points inside the chosen scenes."""
+    chosen = best.select(*SCENE_KEYS, F.col("scene_ts").alias("ts"))
+    entries = [_entry(F.col("point"), ESTIMATED, F.lit(n), F.col(f"`{n}`")) for n in names]
+    rows = points.join(chosen, list(SCENE_KEYS)).select("reservoir_id", "ts", _records(entries))
     return rows.where(F.col("value").isNotNull()).select(*RECORD)
 
 

@@ -23,7 +23,7 @@ def rename_by_substring(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def to_sensor_rows(
-    df: DataFrame, reservoir_code: str, lon: float, lat: float, ts: Column | None = None
+    df: DataFrame, reservoir_code: str, lon: float, lat: float, ts: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Bring a feed to the stored schema; rows without time or phycocyanin are dropped."""
     ts = ts if ts is not None else temporal.lenient_timestamp(F.col("date_time").cast("string"))
@@ -39,7 +39,7 @@ def to_sensor_rows(
         else:
             value = F.lit(None)
         columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns).na.drop(subset=["date_time", "phycocyanin"])
+    return df.select(*columns, *keep).na.drop(subset=["date_time", "phycocyanin"])
 
 
 def drop_repeated(
@@ -63,14 +63,20 @@ def merge_sensors(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataF
     return left.join(right, list(on), "full_outer")
 
 
+def periods_of(spans: DataFrame, first: Column, last: Column, days: int = 90) -> DataFrame:
+    """Cut each span into consecutive periods of `days` days; the last one ends with the span."""
+    step = F.expr(f"interval {int(days)} days")
+    starts = spans.select(last.alias("_last"), F.explode(F.sequence(first, last, step)).alias("period_start"))
+    return starts.select(
+        "period_start", F.least(F.date_add("period_start", days - 1), F.col("_last")).alias("period_end")
+    )
+
+
 def periods(
     spark: SparkSession, start: str, end: str, days: int = 90, exclude: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Consecutive periods of `days` days, with an interval cut out of them."""
-    step = F.expr(f"interval {int(days)} days")
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    whole = spark.range(1).select(F.explode(F.sequence(first, last, step)).alias("period_start"))
-    whole = whole.withColumn("period_end", F.least(F.date_add("period_start", days - 1), last))
+    """Periods between two dates, with an interval cut out of them."""
+    whole = periods_of(spark.range(1), F.lit(start).cast("date"), F.lit(end).cast("date"), days)
     return subtract_interval(whole, *exclude) if exclude else whole
 
 
