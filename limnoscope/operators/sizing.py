@@ -75,12 +75,12 @@ def spread_row_number(
     offsets = sizes.select(
         *keys, "_bucket",
         (F.sum("_size").over(ahead) - F.col("_size")).alias("_ahead"),
-        F.sum("_size").over(group).alias("_total"),
+        F.sum("_size").over(group).alias("_group_size"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     ranked = rows.join(offsets, [*keys, "_bucket"]).withColumn(
         out, F.col("_ahead") + F.row_number().over(inside)
     )
     if total:
-        ranked = ranked.withColumnRenamed("_total", total)
-    return ranked.drop("_bucket", "_ahead", "_total")
+        ranked = ranked.withColumnRenamed("_group_size", total)
+    return ranked.drop("_bucket", "_ahead", "_group_size")

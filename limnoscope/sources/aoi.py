@@ -31,7 +31,7 @@ def aoi_from_geojson(texts: DataFrame, column: str = "geojson", name_property: s
 def aoi_from_vertices(vertices: DataFrame, order: str = "vertex_no") -> DataFrame:
     """Areas from one row per vertex; a ring holds as many entries as the polygon has corners."""
     gathered = vertices.groupBy("reservoir_id", "name").agg(
-        F.array_sort(F.collect_list(F.struct(order, F.col("x").cast("double"), F.col("y").cast("double")))).alias("v")
+        F.array_sort(F.collect_list(F.struct(F.col(order), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("v")
     )
     ring = F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return with_bounds(gathered.select("reservoir_id", "name", ring.alias("ring")))

@@ -44,22 +44,28 @@ def list_items(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "position", text.plain_cell(F.col("col")).alias("text"))
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, header, cells); the first row of a table is its header."""
-    tables = pages.select(
-        *[c for c in pages.columns if c != "html"], F.posexplode(_elements(F.col("html"), "table")).alias("table_no", "_table")
-    )
+def _body_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, header, row_no, cells) from a column `_table` that holds one table's markup."""
     parsed = tables.withColumn("_rows", F.transform(_elements(F.col("_table"), "tr"), _cells))
+    parsed = parsed.where(F.size("_rows") > 1)
     header = F.transform(F.element_at("_rows", 1), lambda c: text.strip_accents(c["text"]))
-    body = F.slice(F.col("_rows"), F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))
-    kept = parsed.where(F.size("_rows") > 0).withColumn("header", header)
-    others = [c for c in pages.columns if c != "html"]
-    return kept.select(*others, "table_no", "header", F.posexplode(body).alias("row_no", "cells"))
+    body = F.slice(F.col("_rows"), F.lit(2), F.size("_rows") - 1)
+    return parsed.select(*keep, header.alias("header"), F.posexplode(body).alias("row_no", "cells"))
+
+
+def table_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, header, row_no, cells) of every table; its first row is the header."""
+    tables = pages.select("page_id", F.posexplode(_elements(F.col("html"), "table")).alias("table_no", "_table"))
+    return _body_rows(tables, ["page_id", "table_no"])
+
 
+def _has_header(table: Column, word: str) -> Column:
+    first_row = F.regexp_extract(table, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
+    return text.strip_accents(text.plain_cell(first_row)).contains(word)
 
-def _row_time(day: Column, cell) -> Column:
+
+def _row_time(day: Column, hour: Column) -> Column:
     """Time from one column, or from a date and an hour column."""
-    hour = cell(lambda h: h.contains("Hora") & ~h.contains("Fecha"))["text"]
     return F.coalesce(
         temporal.lenient_timestamp(day, (temporal.SENSOR_PAGE_FORMAT,)), temporal.combined_timestamp(day, hour)
     )
@@ -71,22 +77,24 @@ def sensor_rows(pages: DataFrame, word: str = "Ficocianina") -> DataFrame:
     Numbers may use a decimal comma. A depth counts only in a cell marked valid. Rows without time or
     without the measure named by `word` are dropped.
     """
-    rows = table_rows(pages)
-    hit = F.exists("header", lambda h: h.contains(word))
-    candidates = rows.where(hit)
-    firsts = candidates.groupBy("page_id").agg(F.min("table_no").alias("table_no"))
-    chosen = candidates.join(firsts, ["page_id", "table_no"], "left_semi")
+    wanted = F.filter(_elements(F.col("html"), "table"), lambda t: _has_header(t, word))
+    tables = pages.select("page_id", F.get(wanted, F.lit(0)).alias("_table")).where(F.col("_table").isNotNull())
+    rows = _body_rows(tables, ["page_id"])
 
     def cell(matches) -> Column:
         place = F.array_position(F.transform("header", matches), F.lit(True)).cast("int")
         return F.when(place > 0, F.get(F.col("cells"), place - 1))
 
-    values = {}
-    for header_word, name in HEADER_WORDS.items():
-        found = cell(lambda h, w=header_word: h.contains(w))["text"]
-        values[name] = comma_decimal(found) if name != "date_time" else _row_time(found, cell)
+    def under(header_word: str) -> Column:
+        return cell(lambda h: h.contains(header_word))["text"]
+
+    hour = cell(lambda h: h.contains("Hora") & ~h.contains("Fecha"))["text"]
+    values = {
+        name: _row_time(under(header), hour) if name == "date_time" else comma_decimal(under(header))
+        for header, name in HEADER_WORDS.items()
+    }
     depth = cell(lambda h: h == F.lit(DEPTH_HEADER))
     values["depth"] = F.when(depth["css"] == VALID_CLASS, comma_decimal(depth["text"]))
-    return chosen.select(
-        "page_id", "row_no", *[v.alias(n) for n, v in values.items()]
-    ).na.drop(subset=["date_time", HEADER_WORDS[word]])
+    return rows.select("page_id", "row_no", *[v.alias(n) for n, v in values.items()]).na.drop(
+        subset=["date_time", HEADER_WORDS[word]]
+    )

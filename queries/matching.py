@@ -64,7 +64,7 @@ def insitu_extent(spark, sf):
 
 @query(
     s.with_views("satellite")
-    + f"""select reservoir_id, d as "date", scene_date sentinel_date, tile, days days_from_insitu, {sql_stamp('scene_ts')} datetime_utc,
+    + f"""select reservoir_id, d as "date", scene_date sentinel_date, tile, days_away days_from_insitu, {sql_stamp('scene_ts')} datetime_utc,
       {sql_fixed('overpass')} overpass_hour_utc, cloud_meta cloudy_pixel_percentage,
       {sql_fixed('coverage_area_pct')} coverage_percentage_aoi, valid valid_final, n_candidates from satellite"""
 )

@@ -59,6 +59,20 @@ SQL_CLEAR = "scl not in (8,9,10)"
 SQL_WATER = f"(scl = 6 or (scl = 2 and year(scene_date) = {s.DARK_YEAR}))"
 
 
+def _digits(name: str) -> int:
+    """The power law reaches 1e9, where six decimals are beyond a double."""
+    return 2 if name == "UV_PC_Gral_cal" else 6
+
+
+def shown(name: str):
+    return fixed(F.col(f"`{name}`"), _digits(name)).alias(name)
+
+
+def sql_shown(name: str, expression: str | None = None) -> str:
+    quoted = f'"{name}"'
+    return f"{sql_fixed(expression or quoted, _digits(name))} as {quoted}"
+
+
 def sql_index(name: str, water: bool = False) -> str:
     keep = f"{SQL_CLEAR} and {SQL_WATER}" if water else SQL_CLEAR
     return f"case when {keep} then {SQL_INDEX[name]} end"
@@ -67,14 +81,14 @@ def sql_index(name: str, water: bool = False) -> str:
 @query(
     s.with_views("pixel")
     + "select pixel_id, reservoir_id, scene_date, tile, "
-    + ", ".join(f'{sql_fixed(sql_index(n))} as "{n}"' for n in NAMES)
+    + ", ".join(sql_shown(n, sql_index(n)) for n in NAMES)
     + " from pixel"
 )
 def spectral_indices(spark, sf):
     """The eight water-quality indices of every pixel, cloud-masked."""
     indexed = spectral.with_indices(s.pixel(spark, sf), NAMES)
     return indexed.select(
-        "pixel_id", "reservoir_id", "scene_date", "tile", *[fixed(F.col(f"`{n}`")).alias(n) for n in NAMES]
+        "pixel_id", "reservoir_id", "scene_date", "tile", *[shown(n) for n in NAMES]
     )
 
 
@@ -115,13 +129,13 @@ _MEANS = (
 @query(
     s.with_views("best", "pixel", means=_MEANS)
     + "select reservoir_id, scene_date, tile, "
-    + ", ".join(f'{sql_fixed(chr(34) + n + chr(34))} as "{n}"' for n in NAMES)
+    + ", ".join(sql_shown(n) for n in NAMES)
     + " from means where coalesce(" + ", ".join(f'"{n}"' for n in NAMES) + ") is not null"
 )
 def reservoir_daily_mean(spark, sf):
     """Water mean of every index for the best scene of each reservoir and date."""
     means = reduction.reservoir_daily_means(s.pixel(spark, sf), NAMES, dark_year=s.DARK_YEAR)
-    return means.select("reservoir_id", "scene_date", "tile", *[fixed(F.col(f"`{n}`")).alias(n) for n in NAMES])
+    return means.select("reservoir_id", "scene_date", "tile", *[shown(n) for n in NAMES])
 
 
 _POINTS = (
@@ -135,14 +149,14 @@ _POINTS = (
 @query(
     s.with_views("pixel", "poi", near=_POINTS)
     + "select reservoir_id, scene_date, tile, point, "
-    + ", ".join(f'{sql_fixed(chr(34) + n + chr(34))} as "{n}"' for n in NAMES)
+    + ", ".join(sql_shown(n) for n in NAMES)
     + " from near where coalesce(" + ", ".join(f'"{n}"' for n in NAMES) + ") is not null"
 )
 def poi_buffer_mean(spark, sf):
     """Mean of every index within 30 m of each point, per scene."""
     means = reduction.point_means(s.pixel(spark, sf), s.poi(spark, sf), NAMES)
     return means.select(
-        "reservoir_id", "scene_date", "tile", "point", *[fixed(F.col(f"`{n}`")).alias(n) for n in NAMES]
+        "reservoir_id", "scene_date", "tile", "point", *[shown(n) for n in NAMES]
     )
 
 
@@ -236,13 +250,13 @@ _WIDE = (
 @query(
     _MIXED.rstrip() + f",\nwide as ({_WIDE})\n"
     + f"select reservoir_id, location, {sql_stamp('ts')} ts, kind, "
-    + ", ".join(f'{sql_fixed(chr(34) + n + chr(34))} as "{n}"' for n in MAIN) + " from wide"
+    + ", ".join(sql_shown(n) for n in MAIN) + " from wide"
 )
 def mixed_measures_wide(spark, sf):
     """The index measures with one column each."""
     wide = reshape.to_wide(_long(spark, sf), MAIN)
     return wide.select(
-        "reservoir_id", "location", stamp("ts").alias("ts"), "kind", *[fixed(F.col(f"`{n}`")).alias(n) for n in MAIN]
+        "reservoir_id", "location", stamp("ts").alias("ts"), "kind", *[shown(n) for n in MAIN]
     )
 
 
@@ -250,7 +264,7 @@ def mixed_measures_wide(spark, sf):
     _MIXED.rstrip() + f",\nwide as ({_WIDE})\n"
     + "select case when location = 'Media_Embalse' then 'mean' else 'point' end as part, location, reservoir_id, "
     + "strftime(ts, '%d-%m-%Y %H:%M') as shown, kind, "
-    + ", ".join(f'{sql_fixed(chr(34) + n + chr(34))} as "{n}"' for n in MAIN)
+    + ", ".join(sql_shown(n) for n in MAIN)
     + " from wide order by location, ts"
 )
 def result_tables(spark, sf):
@@ -261,21 +275,23 @@ def result_tables(spark, sf):
     both = reshape.union_all([means.withColumn("part", F.lit("mean")), points.withColumn("part", F.lit("point"))])
     return both.orderBy("location", "ts").select(
         "part", "location", "reservoir_id", F.date_format("ts", "dd-MM-yyyy HH:mm").alias("shown"), "kind",
-        *[fixed(F.col(f"`{n}`")).alias(n) for n in MAIN],
+        *[shown(n) for n in MAIN],
     )
 
 
 @query(
     s.with_views("best", "pixel", means=_MEANS)
     + "select reservoir_id, scene_date, u.index_name, u.value from means, lateral (values "
-    + ",".join(f"('{n}', {sql_fixed(chr(34) + n + chr(34))})" for n in NAMES)
+    + ",".join(f"('{n}', {sql_fixed(chr(34) + n + chr(34), _digits(n))})" for n in NAMES)
     + ") u(index_name, value) where coalesce(" + ", ".join(f'means."{n}"' for n in NAMES) + ") is not null"
 )
 def index_unpivot(spark, sf):
     """Reservoir means with one row per index; missing values stay."""
     means = reduction.reservoir_daily_means(s.pixel(spark, sf), NAMES, dark_year=s.DARK_YEAR)
     rows = reshape.indices_to_rows(means, ["reservoir_id", "scene_date"], NAMES)
-    return rows.select("reservoir_id", "scene_date", "index_name", fixed("value").alias("value"))
+    return rows.select("reservoir_id", "scene_date", "index_name",
+        F.when(F.col("index_name") == "UV_PC_Gral_cal", fixed("value", 2)).otherwise(fixed("value")).alias("value"),
+    )
 
 
 @query(

@@ -159,7 +159,7 @@ VIEWS |= {
     "usable": "select *, coverage_area_pct >= 50 as valid from scene where cloud_meta <= 60",
     "asked": "select distinct reservoir_id, cast(ts as date) as d from samples where hour(ts) between 8 and 15",
     "satellite": """select * from (select a.reservoir_id, a.d, u.scene_date, u.tile, u.scene_ts, u.cloud_meta,
-        u.coverage_area_pct, u.valid, abs(date_diff('day', u.scene_date, a.d)) days,
+        u.coverage_area_pct, u.valid, abs(date_diff('day', u.scene_date, a.d)) days_away,
         hour(u.scene_ts) + minute(u.scene_ts)/60e0 as overpass,
         count(*) over (partition by a.reservoir_id, a.d) n_candidates,
         row_number() over (partition by a.reservoir_id, a.d order by u.valid desc, abs(date_diff('day', u.scene_date, a.d)),
