@@ -78,23 +78,27 @@ def with_designs(rows: DataFrame, predictors: Sequence[str], degrees: Sequence[i
 
 
 def product_sums(designs: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """Sums of z_i * z_j with z = (1, features, target), per (group, degree, part)."""
-    z = F.concat(F.array(F.lit(1.0)), F.col("x"), F.array(F.col("y_true")))
-    width = F.size("z")
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), width),
-            lambda i: F.transform(
-                F.sequence(i, width),
-                lambda j: F.struct(
-                    (i - 1).alias("i"), (j - 1).alias("j"),
-                    (F.element_at("z", i) * F.element_at("z", j)).alias("p"),
-                ),
-            ),
-        )
+    """Sums of z_i * z_j with z = (1, features, target), per (group, degree, part).
+
+    Each Arrow batch is multiplied out at once and sends only its sums into the shuffle.
+    """
+    keys = [*group, "degree", "part"]
+    schema = T.StructType(
+        [designs.schema[k] for k in keys]
+        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("p", T.DoubleType())]
     )
-    products = designs.withColumn("z", z).select(*group, "degree", "part", F.inline(pairs))
-    return products.groupBy(*group, "degree", "part", "i", "j").agg(F.sum("p").alias("s"))
+
+    def multiply(batches):
+        for batch in batches:
+            for key, block in batch.groupby(keys, sort=False):
+                x = np.stack(block["x"].to_list())
+                z = np.column_stack([np.ones(len(x)), x, block["y_true"].to_numpy(float)])
+                i, j = np.triu_indices(z.shape[1])
+                sums = pd.DataFrame({"i": i, "j": j, "p": (z.T @ z)[i, j]})
+                yield sums.assign(**dict(zip(keys, key)))[schema.names]
+
+    partial = designs.select(*keys, "x", F.col("y_true").cast("double")).mapInPandas(multiply, schema)
+    return partial.groupBy(*keys, "i", "j").agg(F.sum("p").alias("s"))
 
 
 def solve_sums(sums: np.ndarray, model: LinearModel, alpha: float, l1_ratio: float):
@@ -213,7 +217,9 @@ def fit_models(
         frame["part"] = frame["part"].astype("Int32")
         return frame
 
-    return fold_scaler(sums.groupBy(*group, "degree").applyInPandas(fit, schema))
+    # A set number of tasks: the sums are small, so merging partitions by size would fit all groups in one task.
+    spread = sums.repartition(sums.sparkSession.sparkContext.defaultParallelism, *group, "degree")
+    return fold_scaler(spread.groupBy(*group, "degree").applyInPandas(fit, schema))
 
 
 def fold_scaler(fits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limnoscope.operators.quantiles import iqr_fence
 from limnoscope.operators.sizing import lookup_join, spread_row_number
+from limnoscope.session import cut_lineage
 
 GROUP = ("reservoir_id", "variable")
 TEST_SHARE, SMALL_TEST_SHARE, SMALL_GROUP = 0.25, 0.20, 8
@@ -77,10 +78,13 @@ def assign_parts(
     rows: DataFrame, scheme: str = "kfold", folds: int = 5, group: Sequence[str] = GROUP,
     key: Sequence[str] = (*GROUP, "date"), remove_outliers: bool = True,
 ) -> DataFrame:
-    """Split, outliers and folds in one table: `part` is the fold, -1 for held-out, -2 for outlier rows."""
-    split = holdout_split(rows, group, key)
+    """Split, outliers and folds in one table: `part` is the fold, -1 for held-out, -2 for outlier rows.
+
+    Each step ranks the rows of the one before, so the (small) tables between them are checkpointed.
+    """
+    split = cut_lineage(holdout_split(rows, group, key))
     if remove_outliers:
-        split = mark_outliers(split, group)
+        split = cut_lineage(mark_outliers(split, group))
     train = split.where(F.col("split") == "train")
     if scheme == "timeseries":
         folded = time_blocks(train, folds, group, ties=key).withColumnRenamed("block", "part")

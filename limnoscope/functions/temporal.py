@@ -16,8 +16,10 @@ SENSOR_FILE_FORMATS = (
 
 
 def lenient_timestamp(text: Column, formats: Sequence[str] = SENSOR_FILE_FORMATS) -> Column:
-    """First format that parses; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """First format that parses; NULL when none does. Text that starts with no digit is not tried."""
+    return F.when(
+        text.rlike(r"^\s*\d"), F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    )
 
 
 def combined_timestamp(date: Column, time: Column) -> Column:

@@ -10,7 +10,8 @@ from limnoscope.functions import spectral, temporal
 from limnoscope.functions.numeric import lenient_double
 from limnoscope.operators import reduction, screening
 from limnoscope.operators.quantiles import grouped_distribution
-from limnoscope.operators.sizing import salted_join
+from limnoscope.operators.sizing import is_small, lookup_join
+from limnoscope.session import cut_lineage
 
 
 def prepare_insitu(
@@ -35,6 +36,20 @@ def date_extent(insitu: DataFrame) -> DataFrame:
     return insitu.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def pixels_around(pixels: DataFrame, dates: DataFrame, window_days: int, max_cloud: float) -> DataFrame:
+    """Only pixels that can matter: clear enough by metadata and near a field date.
+
+    Both tests are applied before the aggregation. The date test is a broadcast semi join while the
+    dates are few; beyond that it is left out, since matching drops the other scenes anyway.
+    """
+    clear = pixels.where(F.col("cloud_meta") <= max_cloud)
+    around = F.sequence(F.date_sub("date", window_days), F.date_add("date", window_days))
+    wanted = dates.select("reservoir_id", F.explode(around).alias("scene_date")).distinct()
+    if is_small(wanted):
+        return clear.join(F.broadcast(wanted), ["reservoir_id", "scene_date"], "left_semi")
+    return clear
+
+
 def scene_features(pixels: DataFrame, predictors: Sequence[str] = spectral.PREDICTOR_NAMES) -> DataFrame:
     """Screening figures, mean red reflectance and predictor means of every scene, in one scan."""
     spectral.check_bands(pixels, predictors)
@@ -107,12 +122,12 @@ def match_scenes(
 def near_overpass(insitu: DataFrame, satellite: DataFrame, hours: float = 1.5) -> DataFrame:
     """Samples taken within `hours` of the overpass of their date's scene.
 
-    A day of one reservoir may hold very many samples; they are spread by a salt, and only the one
-    satellite row per date is repeated.
+    The satellite side has one row per date: broadcast when counted small, otherwise repeated per salt
+    so that a day with very many samples is spread over tasks.
     """
     passes = satellite.where("valid_final").select("reservoir_id", "date", "overpass_hour_utc")
     near = F.abs(temporal.fractional_hour(F.col("ts")) - F.col("overpass_hour_utc")) <= float(hours)
-    return salted_join(insitu, passes, ["reservoir_id", "date"], ["ts", "value"], near, salts=8)
+    return lookup_join(insitu, passes, ["reservoir_id", "date"], ["ts", "value"], near)
 
 
 def daily_statistics(samples: DataFrame, keys: Sequence[str] = ("reservoir_id", "date", "variable")) -> DataFrame:
@@ -133,7 +148,7 @@ def calibration_rows(
     joined = daily.select("reservoir_id", "date", "variable", F.col("value_mean").alias("y_true")).join(
         satellite.select("reservoir_id", "date", *predictors), ["reservoir_id", "date"]
     )
-    complete = joined.na.drop(subset=["y_true", *predictors])
+    complete = cut_lineage(joined.na.drop(subset=["y_true", *predictors]))
     sizes = complete.groupBy("reservoir_id", "variable").agg(F.count(F.lit(1)).alias("n_rows"))
     gated = complete.join(sizes, ["reservoir_id", "variable"])
     return gated.withColumn(

@@ -11,14 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Slices per doubling of the value; a group has some hundreds of slices at most in practice.
-_SLICES_PER_OCTAVE = 64
+# A slice spans 0.07 % of the value, so even a group of billions of values has few in one slice, and the
+# histogram of a group has some ten thousand rows at most in practice.
+_SLICES_PER_OCTAVE = 1024
 _OCTAVES = 1100
+_LARGEST = 1.7976931348623157e308
 
 
 def value_slice(value: Column) -> Column:
     """Coarse slice number that never decreases when the value grows."""
-    size = F.floor(F.log2(F.abs(value)) * _SLICES_PER_OCTAVE) + _OCTAVES * _SLICES_PER_OCTAVE
+    size = F.floor(F.log2(F.least(F.abs(value), F.lit(_LARGEST))) * _SLICES_PER_OCTAVE) + _OCTAVES * _SLICES_PER_OCTAVE
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size).cast("long")
 
 

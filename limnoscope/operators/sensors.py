@@ -53,9 +53,9 @@ def drop_repeated(
     rest = [c for c in df.columns if c not in identity and c != ingest_order]
     kept = df.groupBy(*identity).agg(
         F.min(ingest_order).alias(ingest_order),
-        *[F.min_by(F.struct(F.col(c)), F.col(ingest_order)).alias(c) for c in rest],
+        *[F.min_by(F.col(c), F.col(ingest_order)).alias(c) for c in rest],
     )
-    return kept.select(*[F.col(c) if c not in rest else F.col(c)[c].alias(c) for c in df.columns])
+    return kept.select(*df.columns)
 
 
 def merge_sensors(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -32,13 +32,12 @@ def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """New version with changed cells; NULL in a change leaves the cell, the key never changes."""
+    """New version in which rows named by `changes` take its values, NULL included; the key never changes."""
     touched = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in touched])
+    renamed = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in touched])
     joined = table.join(renamed, key, "left")
-    return joined.select(
-        *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in touched else F.col(c) for c in table.columns]
-    )
+    new = lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select(*[new(c) if c in touched else F.col(c) for c in table.columns])
 
 
 def delete_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -23,9 +23,11 @@ def calibration_input(
     min_rows: int = 6,
 ) -> DataFrame:
     """Matched rows: one per (reservoir, variable, date)."""
-    scenes = matching.scene_features(pixels, predictors)
+    dates = matching.insitu_dates(insitu)
+    near = matching.pixels_around(pixels, dates, window_days, max_cloud)
+    scenes = matching.scene_features(near, predictors)
     satellite = cut_lineage(
-        matching.match_scenes(matching.insitu_dates(insitu), scenes, window_days, max_cloud, min_coverage, predictors)
+        matching.match_scenes(dates, scenes, window_days, max_cloud, min_coverage, predictors)
     )
     daily = matching.match_overpass(insitu, satellite, overpass_hours)
     return matching.calibration_rows(daily, satellite, predictors, min_rows)

@@ -45,12 +45,16 @@ def list_items(pages: DataFrame) -> DataFrame:
 
 
 def _body_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, header, row_no, cells) from a column `_table` that holds one table's markup."""
-    parsed = tables.withColumn("_rows", F.transform(_elements(F.col("_table"), "tr"), _cells))
-    parsed = parsed.where(F.size("_rows") > 1)
-    header = F.transform(F.element_at("_rows", 1), lambda c: text.strip_accents(c["text"]))
-    body = F.slice(F.col("_rows"), F.lit(2), F.size("_rows") - 1)
-    return parsed.select(*keep, header.alias("header"), F.posexplode(body).alias("row_no", "cells"))
+    """(keep, header, row_no, cells) from a column `_table` that holds one table's markup.
+
+    Exploding between the steps keeps the optimizer from repeating a pattern match in a later filter.
+    """
+    header = F.transform(_cells(_first_row(F.col("_table"))), lambda c: text.strip_accents(c["text"]))
+    headed = tables.select(*keep, "_table", header.alias("header"))
+    rows = headed.select(*keep, "header", F.posexplode(_elements(F.col("_table"), "tr")).alias("_pos", "_row"))
+    return rows.where(F.col("_pos") > 0).select(
+        *keep, "header", (F.col("_pos") - 1).alias("row_no"), _cells(F.col("_row")).alias("cells")
+    )
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
@@ -59,9 +63,12 @@ def table_rows(pages: DataFrame) -> DataFrame:
     return _body_rows(tables, ["page_id", "table_no"])
 
 
+def _first_row(table: Column) -> Column:
+    return F.regexp_extract(table, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
+
+
 def _has_header(table: Column, word: str) -> Column:
-    first_row = F.regexp_extract(table, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
-    return text.strip_accents(text.plain_cell(first_row)).contains(word)
+    return text.strip_accents(text.plain_cell(_first_row(table))).contains(word)
 
 
 def _row_time(day: Column, hour: Column) -> Column:
@@ -78,7 +85,7 @@ def sensor_rows(pages: DataFrame, word: str = "Ficocianina") -> DataFrame:
     without the measure named by `word` are dropped.
     """
     wanted = F.filter(_elements(F.col("html"), "table"), lambda t: _has_header(t, word))
-    tables = pages.select("page_id", F.get(wanted, F.lit(0)).alias("_table")).where(F.col("_table").isNotNull())
+    tables = pages.select("page_id", F.explode(F.slice(wanted, 1, 1)).alias("_table"))
     rows = _body_rows(tables, ["page_id"])
 
     def cell(matches) -> Column:
@@ -95,6 +102,7 @@ def sensor_rows(pages: DataFrame, word: str = "Ficocianina") -> DataFrame:
     }
     depth = cell(lambda h: h == F.lit(DEPTH_HEADER))
     values["depth"] = F.when(depth["css"] == VALID_CLASS, comma_decimal(depth["text"]))
-    return rows.select("page_id", "row_no", *[v.alias(n) for n, v in values.items()]).na.drop(
+    read = F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()])))
+    return rows.select("page_id", "row_no", read).na.drop(
         subset=["date_time", HEADER_WORDS[word]]
     )
