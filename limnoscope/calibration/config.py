@@ -8,15 +8,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limnoscope.calibration.linear import CATALOGUE
 from limnoscope.calibration.splits import GROUP
+from limnoscope.calibration.trees import MIN_ROWS
 from limnoscope.functions import masks, spectral
 from limnoscope.functions.numeric import at_least_zero
 from limnoscope.functions.text import calibrated_band_name
 from limnoscope.operators.quantiles import grouped_distribution
 from limnoscope.operators.sizing import lookup_join
 
+# Sample-size gates of the whole catalogue: (name, position, least rows).
+GATES = tuple((m.name, m.position, m.min_rows) for m in CATALOGUE) + (
+    ("random_forest", 6, MIN_ROWS), ("gradient_boosting", 7, MIN_ROWS),
+)
 RASTERIZABLE = tuple(m.name for m in CATALOGUE if m.rasterizable)
 
 
+def offered_models(rows: DataFrame, requested: Sequence[str], group: Sequence[str] = GROUP) -> DataFrame:
+    """Requested models each group has enough matched rows for (all of its rows count, not the train rows)."""
+    gates = rows.sparkSession.createDataFrame(
+        [g for g in GATES if g[0] in requested], "model_name string, position int, min_rows int"
+    )
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"))
+    # The gates are a constant of this module.
+    return sizes.join(F.broadcast(gates), F.col("n_rows") >= F.col("min_rows")).drop("min_rows")
+
+
 def predictor_medians(rows: DataFrame, predictors: Sequence[str], group: Sequence[str] = GROUP) -> DataFrame:
     """Exact median of each predictor per group as an array in predictor order; 0 where there is none."""
     long = rows.select(*group, *predictors).unpivot(list(group), list(predictors), "predictor", "v")

@@ -134,8 +134,19 @@ def reflectance(band: str) -> Column:
     return F.col(band) / F.lit(10000.0)
 
 
+def scaled_bands(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Bands as reflectance. Index builders scale by themselves, so this is for export of bands only."""
+    require_columns(pixels, bands)
+    return pixels.withColumns({b: reflectance(b) for b in bands})
+
+
 def index_column(name: str) -> Column:
-    """The index, masked by cloud class where the index asks for it."""
+    """The index, masked by cloud class where the index asks for it.
+
+    A name outside the registry is a column the pixels already carry, such as a calibrated band.
+    """
+    if name not in _registry:
+        return F.col(f"`{name}`")
     (index,) = lookup([name])
     value = index.build({b: reflectance(b) for b in index.bands})
     return masked(value, clear_for_indices(F.col("scl"))) if index.cloud_masked else value
@@ -143,7 +154,7 @@ def index_column(name: str) -> Column:
 
 def check_bands(pixels: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fail before the job starts when a band of a wanted index is absent."""
-    wanted = lookup(names)
+    wanted = lookup([n for n in names if n not in pixels.columns])
     needed = {b for i in wanted for b in i.bands}
     if any(i.cloud_masked for i in wanted):
         needed.add("scl")

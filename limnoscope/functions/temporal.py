@@ -51,5 +51,9 @@ def display_time(ts: Column) -> Column:
     return F.date_format(ts, "dd-MM-yyyy HH:mm")
 
 
+def display_day(day: Column) -> Column:
+    return F.date_format(day, "dd MMM yyyy")
+
+
 def clock(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm:ss")

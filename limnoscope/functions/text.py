@@ -45,14 +45,19 @@ def any_column_contains(columns: Sequence[str], term: str) -> Column:
     return reduce(lambda a, b: a | b, hits)
 
 
+# Entities met in the sensor tables.
+_ENTITIES = {
+    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"',
+    "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó",
+    "&uacute;": "ú", "&ntilde;": "ñ", "&amp;": "&",
+}
+
+
 def plain_cell(html: Column) -> Column:
-    """Visible text of a table cell."""
-    bare = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    # Entities met in the sensor tables.
-    for entity, plain in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-        ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"),
-        ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&amp;", "&"),
-    ):
-        bare = F.replace(bare, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Visible text of a table cell; the replacements run only where there is something to replace."""
+    bare = F.when(html.contains("<"), F.regexp_replace(html, r"(?s)<[^>]*>", "")).otherwise(html)
+    decoded = bare
+    for entity, plain in _ENTITIES.items():
+        decoded = F.replace(decoded, F.lit(entity), F.lit(plain))
+    decoded = F.when(html.contains("&"), decoded).otherwise(bare)
+    return F.trim(F.regexp_replace(decoded, r"\s+", " "))

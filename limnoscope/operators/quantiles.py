@@ -1,8 +1,9 @@
 """Exact grouped statistics and quantiles that survive very large groups.
 
-Spark's `median` and `percentile` keep every distinct value of a group in one task. Here equal values
-are first counted (partial aggregation, spread by key and value), a coarse histogram per group finds
-the slice that holds each wanted rank, and only that slice is ordered.
+Spark's `percentile` keeps every distinct value of a group in one task. That is right for small groups,
+so groups are counted first and only those above a bound take another way: equal values are counted
+(partial aggregation, spread by key and value), a coarse histogram per group finds the slice that holds
+each wanted rank, and only that slice is ordered.
 """
 
 from __future__ import annotations
@@ -11,6 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from limnoscope.operators.sizing import lookup_join
+
+# Rows of a group whose values one task may hold.
+SMALL_GROUP_ROWS = 1_000_000
+
 # A slice spans 0.07 % of the value, so even a group of billions of values has few in one slice, and the
 # histogram of a group has some ten thousand rows at most in practice.
 _SLICES_PER_OCTAVE = 1024
@@ -31,17 +37,55 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def grouped_distribution(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float],
+    small_group_rows: int = SMALL_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group: `n_obs`, `value_mean`, `value_min`, `value_max` and the named quantiles.
 
     Quantiles interpolate linearly between neighbouring order statistics.
     """
-    counts = value_counts(df, keys, value)
-    return distribution_from_counts(counts, keys, probabilities)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumnRenamed(value, "_value")
+    return _by_group_size(
+        rows, keys, F.lit(1), probabilities, small_group_rows, lambda hot: value_counts(hot, keys, "_value")
+    )
+
+
+def distribution_from_counts(
+    counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float], small_group_rows: int = SMALL_GROUP_ROWS
+) -> DataFrame:
+    """The same from rows (keys, _value, _n) that count equal values."""
+    return _by_group_size(counts, keys, F.col("_n"), probabilities, small_group_rows, lambda hot: hot)
+
+
+def _by_group_size(rows, keys, weight, probabilities, small_group_rows, counted) -> DataFrame:
+    """Hot groups by slices, the others by one aggregation."""
+    keys = list(keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > small_group_rows).select(*keys)
+    if hot.isEmpty():
+        return _small_groups(rows, keys, weight, probabilities)
+    cold_rows = lookup_join(rows, hot, keys, ["_value"], how="left_anti")
+    hot_rows = lookup_join(rows, hot, keys, ["_value"], how="left_semi")
+    small = _small_groups(cold_rows, keys, weight, probabilities)
+    return small.unionByName(_by_slices(counted(hot_rows), keys, probabilities))
+
+
+def _small_groups(rows: DataFrame, keys: list[str], weight: Column, probabilities: dict[str, float]) -> DataFrame:
+    shares = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    stats = rows.groupBy(*keys).agg(
+        F.sum(weight).cast("long").alias("n_obs"),
+        (F.sum(F.col("_value") * weight) / F.sum(weight)).alias("value_mean"),
+        F.min("_value").alias("value_min"),
+        F.max("_value").alias("value_max"),
+        F.percentile(F.col("_value"), shares, weight).alias("_q"),
+    )
+    return stats.select(
+        *keys, "n_obs", "value_mean", "value_min", "value_max",
+        *[F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)],
+    )
 
 
-def distribution_from_counts(counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+def _by_slices(counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
     keys = list(keys)
     sliced = counts.withColumn("_slice", value_slice(F.col("_value")))
     slices = sliced.groupBy(*keys, "_slice").agg(

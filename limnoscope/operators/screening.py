@@ -91,6 +91,12 @@ def best_scene_per_date(
     )
 
 
+def cloud_of_dates(dates: DataFrame, listed: DataFrame, day: str = "date") -> DataFrame:
+    """Cloud share of asked dates from a stored list of valid dates; unknown dates stay with NULL."""
+    known = listed.groupBy("reservoir_id", day).agg(F.min("cloud_pct").alias("cloud_pct"))
+    return dates.join(known, ["reservoir_id", day], "left")
+
+
 def scene_search(
     scenes: DataFrame,
     start: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from limnoscope.calibration import config as cfg, linear, splits
 from limnoscope.operators import matching
 from limnoscope.session import cut_lineage
+from limnoscope.sources.files import write_csv, write_json
 
 
 def calibration_input(
@@ -89,3 +90,14 @@ def configurations(result: Calibration, predictors: Sequence[str], group: Sequen
     """Per-pixel configurations of the best models, refitted on all rows."""
     medians = cfg.predictor_medians(result.rows, predictors, group)
     return cfg.raster_config(result.best, result.fits, medians, predictors, group)
+
+
+def write_bundle(result: Calibration, predictors: Sequence[str], path: str, tree_models: Mapping | None = None) -> None:
+    """Store configuration, metrics, predictions and removed outliers, and any fitted tree models."""
+    write_json(configurations(result, predictors), f"{path}/configuration")
+    write_csv(linear.sorted_metrics(result.metrics), f"{path}/metrics")
+    write_csv(result.predictions.orderBy("set", "date"), f"{path}/predictions")
+    removed = result.rows.where(F.col("split") == "outlier").withColumn("reason", F.lit("iqr"))
+    write_csv(removed.select(*splits.GROUP, "date", "y_true", "reason"), f"{path}/removed_outliers")
+    for name, model in (tree_models or {}).items():
+        model.write().overwrite().save(f"{path}/{name}")

@@ -51,6 +51,11 @@ SENSOR_IDENTITY = (
 
 MODEL_CONFIG = T.StructType(
     [
+        T.StructField("reservoir_id", T.IntegerType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("model_name", T.StringType()),
+        T.StructField("available", T.BooleanType()),
+        T.StructField("reason", T.StringType()),
         T.StructField("band_name", T.StringType()),
         T.StructField("intercept", T.DoubleType()),
         T.StructField("predictor_set", T.ArrayType(T.StringType())),

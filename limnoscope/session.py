@@ -19,6 +19,8 @@ def local_session(cpus: str = "8", app: str = "limnoscope", memory: str = "12g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Local data is small; without this, one task would take most shuffles.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -11,7 +11,7 @@ from limnoscope.functions import temporal
 from limnoscope.functions.numeric import lenient_double
 from limnoscope.operators.reshape import union_all
 from limnoscope.operators.tables import numeric_candidates, unpivot_targets
-from limnoscope.schemas import POI_CSV, VALID_DATE_CSV
+from limnoscope.schemas import MODEL_CONFIG, POI_CSV, VALID_DATE_CSV
 
 POINT_COLUMNS = {"nombre", "latitud", "longitud"}
 TIME_COLUMN = "Fecha-hora"
@@ -51,7 +51,7 @@ def read_valid_dates(
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    return rows.groupBy("reservoir", "date").agg(F.min("cloud_pct").alias("cloud_pct"))
+    return rows.groupBy("reservoir", "date").agg(F.min("cloud_pct").alias("cloud_pct")).orderBy("date")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,6 +62,11 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Stored calibration configurations."""
+    return spark.read.schema(MODEL_CONFIG).json(path)
+
+
 def read_sensor_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Concatenate sensor files with differing headers; missing and empty files are skipped."""
     frames = []

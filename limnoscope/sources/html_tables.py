@@ -44,23 +44,28 @@ def list_items(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "position", text.plain_cell(F.col("col")).alias("text"))
 
 
-def _body_rows(tables: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep, header, row_no, cells) from a column `_table` that holds one table's markup.
+def _with_header(tables: DataFrame) -> DataFrame:
+    """Add `header`, the plain first row of the markup in `_table`."""
+    cells = _cells(_first_row(F.col("_table")))
+    return tables.withColumn("header", F.transform(cells, lambda c: text.strip_accents(c["text"])))
+
+
+def _body_rows(tables: DataFrame) -> DataFrame:
+    """One row per body row: `row_no` and `cells` in place of `_table`.
 
     Exploding between the steps keeps the optimizer from repeating a pattern match in a later filter.
     """
-    header = F.transform(_cells(_first_row(F.col("_table"))), lambda c: text.strip_accents(c["text"]))
-    headed = tables.select(*keep, "_table", header.alias("header"))
-    rows = headed.select(*keep, "header", F.posexplode(_elements(F.col("_table"), "tr")).alias("_pos", "_row"))
+    keep = [c for c in tables.columns if c != "_table"]
+    rows = tables.select(*keep, F.posexplode(_elements(F.col("_table"), "tr")).alias("_pos", "_row"))
     return rows.where(F.col("_pos") > 0).select(
-        *keep, "header", (F.col("_pos") - 1).alias("row_no"), _cells(F.col("_row")).alias("cells")
+        *keep, (F.col("_pos") - 1).alias("row_no"), _cells(F.col("_row")).alias("cells")
     )
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """(page_id, table_no, header, row_no, cells) of every table; its first row is the header."""
     tables = pages.select("page_id", F.posexplode(_elements(F.col("html"), "table")).alias("table_no", "_table"))
-    return _body_rows(tables, ["page_id", "table_no"])
+    return _body_rows(_with_header(tables))
 
 
 def _first_row(table: Column) -> Column:
@@ -86,23 +91,23 @@ def sensor_rows(pages: DataFrame, word: str = "Ficocianina") -> DataFrame:
     """
     wanted = F.filter(_elements(F.col("html"), "table"), lambda t: _has_header(t, word))
     tables = pages.select("page_id", F.explode(F.slice(wanted, 1, 1)).alias("_table"))
-    rows = _body_rows(tables, ["page_id"])
-
-    def cell(matches) -> Column:
-        place = F.array_position(F.transform("header", matches), F.lit(True)).cast("int")
-        return F.when(place > 0, F.get(F.col("cells"), place - 1))
-
-    def under(header_word: str) -> Column:
-        return cell(lambda h: h.contains(header_word))["text"]
-
-    hour = cell(lambda h: h.contains("Hora") & ~h.contains("Fecha"))["text"]
-    values = {
-        name: _row_time(under(header), hour) if name == "date_time" else comma_decimal(under(header))
-        for header, name in HEADER_WORDS.items()
-    }
-    depth = cell(lambda h: h == F.lit(DEPTH_HEADER))
-    values["depth"] = F.when(depth["css"] == VALID_CLASS, comma_decimal(depth["text"]))
+    # Places of the columns are found once per table.
+    place = lambda matches: F.array_position(F.transform("header", matches), F.lit(True)).cast("int")
+    places = {name: place(_contains(word)) for word, name in HEADER_WORDS.items()}
+    places["hour"] = place(lambda h: h.contains("Hora") & ~h.contains("Fecha"))
+    places["depth"] = place(lambda h: h == F.lit(DEPTH_HEADER))
+    placed = _with_header(tables).select("page_id", "_table", *[p.alias(f"_at_{n}") for n, p in places.items()])
+
+    def cell(name: str) -> Column:
+        at = F.col(f"_at_{name}")
+        return F.when(at > 0, F.get(F.col("cells"), at - 1))
+
+    values = {n: comma_decimal(cell(n)["text"]) for n in HEADER_WORDS.values() if n != "date_time"}
+    values["date_time"] = _row_time(cell("date_time")["text"], cell("hour")["text"])
+    values["depth"] = F.when(cell("depth")["css"] == VALID_CLASS, comma_decimal(cell("depth")["text"]))
     read = F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()])))
-    return rows.select("page_id", "row_no", read).na.drop(
-        subset=["date_time", HEADER_WORDS[word]]
-    )
+    return _body_rows(placed).select("page_id", "row_no", read).na.drop(subset=["date_time", HEADER_WORDS[word]])
+
+
+def _contains(word: str):
+    return lambda header: header.contains(word)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.calibration import config as cfg, linear, splits, trees
-from limnoscope.operators import quantiles
+from limnoscope.operators import quantiles, reduction
 from limnoscope.plans import calibration as plan
 from limnoscope.session import cut_lineage
-from limnoscope.functions import spectral
 from queries import standins as s
 from queries.matching import PREDICTORS, prepared
-from queries.products import SQL_CLEAR, SQL_PREDICTOR
+from queries.products import SQL_CLEAR, SQL_PREDICTOR, SQL_WATER
 from queries.registry import fixed, query, sql_fixed
 
 SQL_NAMES = dict(zip(PREDICTORS, ("ndci", "r740", "tb783")))
@@ -214,6 +213,18 @@ def timeseries_scores(spark, sf):
     return result.scores.select("reservoir_id", "variable", "part", "n", fixed("rmse").alias("rmse"), fixed("mae").alias("mae"))
 
 
+@query(
+    s.with_views("calib")
+    + """select reservoir_id, variable, g.model_name, count(*) n_rows from calib,
+    (values ('linear',0),('ridge',0),('poly3',0),('random_forest',18),('gradient_boosting',18)) g(model_name, least)
+    group by 1,2,3,g.least having count(*) >= g.least"""
+)
+def model_catalogue(spark, sf):
+    """Models offered to each reservoir and variable by their number of matched rows."""
+    offered = cfg.offered_models(rows(spark, sf), ["linear", "ridge", "poly3", "random_forest", "gradient_boosting"])
+    return offered.select("reservoir_id", "variable", "model_name", "n_rows")
+
+
 @query()
 def ridge_lasso_enet_grid(spark, sf):
     """Fold scores of every grid point of the penalised models over three predictors."""
@@ -286,6 +297,22 @@ def calibrated_band(spark, sf):
     return band.select("pixel_id", "reservoir_id", fixed("calibrated").alias("calibrated"))
 
 
+@query(
+    s.with_views(
+        "best", "pixel",
+        v=f"select *, case when {SQL_CLEAR} then case when band < 0 then 0e0 else band end end shown from (select *, {_BAND} as band from pixel)",
+        means=f"""select reservoir_id, scene_date, tile, avg(case when {SQL_WATER} then shown end) calibrated
+          from best join v using (reservoir_id, scene_date, tile) group by 1,2,3""",
+    )
+    + f"select reservoir_id, scene_date, tile, {sql_fixed('calibrated')} calibrated from means where calibrated is not null"
+)
+def calibrated_daily_mean(spark, sf):
+    """The calibrated band averaged over water like any other index."""
+    band = cfg.calibrated_band(s.pixel(spark, sf), _given_config(spark, sf), list(_TERMS))
+    means = reduction.reservoir_daily_means(band, ["calibrated"], dark_year=s.DARK_YEAR)
+    return means.select("reservoir_id", "scene_date", "tile", fixed("calibrated").alias("calibrated"))
+
+
 @query(
     s.with_views(
         "gated", "pixel",

@@ -93,9 +93,9 @@ def scene_class_counts(spark, sf):
 def valid_date_lookup(spark, sf):
     """Cloud share of asked dates from the stored list; unknown dates stay with NULL."""
     listed = screening.scene_statistics(s.pixel(spark, sf)).where(screening.passes(60, 50))
-    listed = listed.groupBy("reservoir_id", F.col("scene_date").alias("date")).agg(F.min("cloud_pct").alias("cloud_pct"))
+    listed = listed.withColumnRenamed("scene_date", "date")
     asked = s.samples(spark, sf).select("reservoir_id", F.to_date("ts").alias("date")).distinct()
     asked = asked.where(F.col("date").between("1995-06-01", "2000-06-01"))
-    return asked.join(listed, ["reservoir_id", "date"], "left").select(
+    return screening.cloud_of_dates(asked, listed).select(
         "reservoir_id", "date", fixed("cloud_pct").alias("cloud_pct"), F.col("cloud_pct").isNotNull().alias("known")
     )

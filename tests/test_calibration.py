@@ -212,3 +212,27 @@ def test_trees(spark):
         trees.fit_tree_models(parts.limit(5), PREDICTORS)
     grid = trees.FOREST_GRID
     assert len(grid["numTrees"]) * len(grid["maxDepth"]) * len(grid["minInstancesPerNode"]) == 24
+
+
+def test_bundle(spark, tmp_path):
+    from limnoscope.sources.files import read_configs
+
+    x, y = table(40)
+    y[5] = 900.0
+    result = plan.calibrate(frame(spark, x, y), PREDICTORS, ["linear", "ridge"])
+    path = str(tmp_path / "bundle")
+    plan.write_bundle(result, PREDICTORS, path)
+    (conf,) = read_configs(spark, f"{path}/configuration").collect()
+    (direct,) = plan.configurations(result, PREDICTORS).collect()
+    assert conf["coefficients"] == direct["coefficients"] and conf["available"]
+    assert spark.read.option("header", True).csv(f"{path}/metrics").count() == 2
+    configs = plan.configurations(result, PREDICTORS)
+    text = configs.select(config.config_json(configs).alias("j")).first()["j"]
+    assert json.loads(text)["band_name"] == "Calibrated_pc"
+
+
+def test_offered_models(spark):
+    x, y = table(20)
+    rows = frame(spark, x, y).unionByName(frame(spark, x[:8], y[:8], "few"))
+    got = {(r["variable"], r["model_name"]) for r in config.offered_models(rows, ["linear", "random_forest", "nope"]).collect()}
+    assert got == {("pc", "linear"), ("pc", "random_forest"), ("few", "linear")}

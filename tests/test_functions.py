@@ -66,6 +66,11 @@ def test_unknown_index_and_missing_band(spark):
         spectral.with_indices(one(spark, scl=6, **BANDS).drop("b8a"), ["PC_Bellus_cal"])
 
 
+def test_scaled_bands(spark):
+    row = spectral.scaled_bands(one(spark, **BANDS), ["b4", "b5"]).first()
+    assert (row["b4"], row["b5"], row["b6"]) == (0.05, 0.09, 800.0)
+
+
 def test_own_index(spark):
     index = spectral.SpectralIndex("own_ratio", ("b3", "b4"), lambda r: F.try_divide(r["b3"], r["b4"]))
     spectral.register(index)

@@ -15,13 +15,14 @@ def groups(spark, data):
     return spark.createDataFrame(rows, "k string, v double")
 
 
-def test_against_numpy(spark):
+@pytest.mark.parametrize("bound", [quantiles.SMALL_GROUP_ROWS, 0, 1500])
+def test_against_numpy(spark, bound):
     rng = np.random.default_rng(1)
     data = {
         "normal": rng.normal(0, 50, 4001), "repeated": rng.integers(0, 4, 1000), "tiny": [3.25],
         "heavy": np.exp(rng.normal(0, 6, 2000)) * rng.choice([-1, 1], 2000), "pair": [1, 2], "zeros": [0, 0, 0, -1],
     }
-    got = {r["k"]: r for r in quantiles.grouped_distribution(groups(spark, data), ["k"], "v", PROBS).collect()}
+    got = {r["k"]: r for r in quantiles.grouped_distribution(groups(spark, data), ["k"], "v", PROBS, bound).collect()}
     for k, vs in data.items():
         vs = np.asarray(vs, float)
         assert got[k]["n_obs"] == len(vs)
@@ -37,6 +38,14 @@ def test_missing_values_are_left_out(spark):
     assert (row["n_obs"], row["med"]) == (2, 2.5)
 
 
+@pytest.mark.parametrize("bound", [quantiles.SMALL_GROUP_ROWS, 0])
+def test_from_counts(spark, bound):
+    counts = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 2), ("b", 2.0, 1)], "k string, _value double, _n long")
+    got = {r["k"]: r for r in quantiles.distribution_from_counts(counts, ["k"], {"med": 0.5, "q": 0.75}, bound).collect()}
+    assert (got["a"]["n_obs"], got["a"]["value_mean"], got["a"]["med"], got["a"]["q"]) == (5, 2.6, 1.0, 5.0)
+    assert (got["b"]["n_obs"], got["b"]["med"]) == (1, 2.0)
+
+
 def test_fence(spark):
     row = quantiles.iqr_fence(groups(spark, {"a": [1, 2, 3, 4]}), ["k"], "v").first()
     assert (row["q1"], row["q3"], row["low"], row["high"]) == (1.75, 3.25, -0.5, 5.5)
