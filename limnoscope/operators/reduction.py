@@ -26,8 +26,17 @@ def _water(dark_year: int) -> Column:
     return masks.is_water(F.col("scl"), F.col("scene_date"), dark_year)
 
 
-def water_means(names: Sequence[str], dark_year: int = masks.DARK_WATER_YEAR) -> list[Column]:
-    return [F.avg(masks.masked(spectral.index_column(n), _water(dark_year))).alias(n) for n in names]
+def with_water_values(
+    pixels: DataFrame, names: Sequence[str], dark_year: int = masks.DARK_WATER_YEAR
+) -> tuple[DataFrame, dict[str, str]]:
+    """Each index over water as a column of its own, and the column names.
+
+    A projection below the aggregation computes an index once, however many aggregates read it.
+    """
+    spectral.check_bands(pixels, names)
+    columns = {n: f"_w{i}" for i, n in enumerate(dict.fromkeys(names))}
+    water = _water(dark_year)
+    return pixels.withColumns({c: masks.masked(spectral.index_column(n), water) for n, c in columns.items()}), columns
 
 
 def aoi_means(names: Sequence[str]) -> list[Column]:
@@ -35,17 +44,14 @@ def aoi_means(names: Sequence[str]) -> list[Column]:
     return [F.avg(spectral.index_column(n)).alias(n) for n in names]
 
 
-def class_areas(
-    name: str, edges: Sequence[float], out: str, dark_year: int = masks.DARK_WATER_YEAR
-) -> list[Column]:
-    """Array of areas per class `[low, up)` and the area of all valid water pixels."""
-    value = masks.masked(spectral.index_column(name), _water(dark_year))
+def class_areas(value: str, edges: Sequence[float], out: str) -> list[Column]:
+    """Array of areas per class `[low, up)` of a value column, and the area of all its valid pixels."""
     area = F.col("area_m2")
     per_class = [
-        F.coalesce(F.sum(F.when((value >= float(lo)) & (value < float(up)), area)), F.lit(0.0))
+        F.coalesce(F.sum(F.when((F.col(value) >= float(lo)) & (F.col(value) < float(up)), area)), F.lit(0.0))
         for lo, up in zip(edges, edges[1:])
     ]
-    whole = F.coalesce(F.sum(F.when(value.isNotNull(), area)), F.lit(0.0))
+    whole = F.coalesce(F.sum(F.when(F.col(value).isNotNull(), area)), F.lit(0.0))
     return [F.array(*per_class).alias(out), whole.alias(f"{out}_total")]
 
 
@@ -56,11 +62,11 @@ def scene_summary(
     dark_year: int = masks.DARK_WATER_YEAR,
 ) -> DataFrame:
     """Screening figures, water means and class areas of every scene from a single scan."""
-    spectral.check_bands(pixels, [*names, *(bins or {})])
-    extra = water_means(names, dark_year)
+    valued, columns = with_water_values(pixels, [*names, *(bins or {})], dark_year)
+    extra = [F.avg(columns[n]).alias(n) for n in names]
     for i, (name, edges) in enumerate((bins or {}).items()):
-        extra += class_areas(name, edges, f"_areas_{i}", dark_year)
-    return screening.scene_statistics(pixels, extra=extra)
+        extra += class_areas(columns[name], edges, f"_areas_{i}")
+    return screening.scene_statistics(valued, extra=extra)
 
 
 def reservoir_daily_means(
@@ -116,6 +122,6 @@ def area_by_class(
     dark_year: int = masks.DARK_WATER_YEAR,
 ) -> DataFrame:
     """Area and share of each class per scene; empty classes stay, values outside all classes count in the total."""
-    spectral.check_bands(pixels, [name])
-    summed = pixels.groupBy(*keys).agg(*class_areas(name, edges, "_areas", dark_year))
+    valued, columns = with_water_values(pixels, [name], dark_year)
+    summed = valued.groupBy(*keys).agg(*class_areas(columns[name], edges, "_areas"))
     return summed.select(*keys, class_rows("_areas", edges))

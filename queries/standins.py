@@ -21,10 +21,10 @@ _BASE = {
     "pixel_id": "l_orderkey*10+l_linenumber",
     "reservoir_id": "cast(l_suppkey % 5 as int)",
     "tile": "cast(l_linenumber % 2 as int)",
-    "scene_date": "cast(date_trunc('month', l_shipdate) as date)"
-    " + cast(10*least(floor((day(l_shipdate)-1)/10.0),2) as int)",
+    "scene_date": "make_date(year(l_shipdate), month(l_shipdate),"
+    " case when day(l_shipdate) <= 10 then 1 when day(l_shipdate) <= 20 then 11 else 21 end)",
     "x": "cast(20*(l_partkey % 45) as double)",
-    "y": "cast(20*cast(floor(l_partkey/45.0) as bigint) as double)",
+    "y": "cast(20*cast((l_partkey - l_partkey%45)/45 as bigint) as double)",
     "area_m2": "400.0e0",
     "b3": "cast(300+l_partkey%700 as double)",
     "b4": "case when l_orderkey % 13 = 0 then null else 200+l_quantity*40 end",
@@ -55,7 +55,7 @@ def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     clouded = base.selectExpr("*", f"{_CLOUD} as cloud_meta")
     return clouded.selectExpr(
         *_PIXEL_COLUMNS.split(", "), f"{_SCL} as scl",
-        "cast(scene_date as timestamp) + make_interval(0,0,0,0,10,50+20*tile,0) as scene_ts",
+        "timestamp_seconds(unix_date(scene_date)*86400L + 39000 + 1200*tile) as scene_ts",
     )
 
 
