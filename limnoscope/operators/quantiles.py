@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnoscope.operators.sizing import lookup_join
+from limnoscope.session import cut_lineage
 
 # Rows of a group whose values one task may hold.
 SMALL_GROUP_ROWS = 1_000_000
@@ -61,7 +62,8 @@ def _by_group_size(rows, keys, weight, probabilities, small_group_rows, counted)
     """Hot groups by slices, the others by one aggregation."""
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > small_group_rows).select(*keys)
+    # At most one group per `small_group_rows` rows; written once, as both branches read it.
+    hot = cut_lineage(sizes.where(F.col("_rows") > small_group_rows).select(*keys))
     if hot.isEmpty():
         return _small_groups(rows, keys, weight, probabilities)
     cold_rows = lookup_join(rows, hot, keys, ["_value"], how="left_anti")

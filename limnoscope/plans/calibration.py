@@ -24,7 +24,7 @@ def calibration_input(
     min_rows: int = 6,
 ) -> DataFrame:
     """Matched rows: one per (reservoir, variable, date)."""
-    dates = matching.insitu_dates(insitu)
+    dates = cut_lineage(matching.insitu_dates(insitu))
     near = matching.pixels_around(pixels, dates, window_days, max_cloud)
     scenes = matching.scene_features(near, predictors)
     satellite = cut_lineage(

@@ -21,7 +21,7 @@ PIXEL = T.StructType(
         *[T.StructField(b, T.DoubleType()) for b in OPTICAL_BANDS],
         T.StructField("scl", T.IntegerType()),
         T.StructField("cldprb", T.IntegerType()),
-        T.StructField("cloud_meta", T.LongType()),
+        T.StructField("cloud_meta", T.DoubleType()),
     ]
 )
 

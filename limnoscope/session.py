@@ -35,13 +35,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; a temporary one only in local mode, where none is named."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="limnoscope-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="limnoscope-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -114,7 +114,7 @@ def period_chunks(spark, sf):
 
 @query(
     """with li as (select page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) v from pages),
-    r as (select page_id, unnest(v) t, generate_subscripts(v, 1) - 1 as position from li)
+    r as (select page_id, unnest(v) t, cast(generate_subscripts(v, 1) - 1 as int) as position from li)
     select page_id, position, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', '', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) as "text" from r"""
 )

@@ -19,7 +19,7 @@ def prepared(spark, sf, first=8, last=15):
 
 
 def satellite(spark, sf, predictors=()):
-    dates = matching.insitu_dates(prepared(spark, sf))
+    dates = cut_lineage(matching.insitu_dates(prepared(spark, sf)))
     near = matching.pixels_around(s.pixel(spark, sf), dates, 3, 60)
     scenes = matching.scene_features(near, predictors or PREDICTORS)
     return matching.match_scenes(dates, scenes, 3, 60, 50, predictors)

@@ -36,7 +36,7 @@ _BASE = {
     "l_orderkey": "l_orderkey",
     "l_linenumber": "l_linenumber",
 }
-_CLOUD = "(dayofyear(scene_date)*37+reservoir_id*11+tile*29)%100"
+_CLOUD = "cast((dayofyear(scene_date)*37+reservoir_id*11+tile*29)%100 as int)"
 _SCL = (
     "case when (l_orderkey*31+l_linenumber*17)%100 < cloud_meta then cast(7+(l_orderkey+l_linenumber)%4 as int)"
     " when l_orderkey%10=0 then 4 when l_orderkey%10=1 then 2 else 6 end"
@@ -129,7 +129,7 @@ _AGG_SCENE = """
       100.0e0*avg(case when scl not in (4,5) then case when scl in (7,8,9,10) then 1e0 else 0e0 end end),
       100.0e0*avg(case when scl not in (4,5) then case when cldprb >= 10 then 1e0 else 0e0 end end)) cloud_pct,
     100.0e0*count(b4)/count(*) coverage_count_pct,
-    100.0e0*sum(case when b4 is not null then area_m2 end)/sum(area_m2) coverage_area_pct
+    coalesce(100.0e0*sum(case when b4 is not null then area_m2 end)/sum(area_m2), 0e0) coverage_area_pct
   from pixel group by 1,2,3"""
 
 VIEWS = {

@@ -185,7 +185,7 @@ def test_impute_and_standardise(spark):
 def test_calibrated_band(spark):
     ts = dt.datetime(2024, 5, 1, 10)
     rows = [
-        (i, r, ts.date(), 0, ts, 0.0, 0.0, 400.0, 300.0, b4, 900.0, 800.0, 700.0, 500.0, scl, 0, 10)
+        (i, r, ts.date(), 0, ts, 0.0, 0.0, 400.0, 300.0, b4, 900.0, 800.0, 700.0, 500.0, scl, 0, 10.0)
         for i, (r, b4, scl) in enumerate([(1, 500.0, 6), (1, None, 6), (1, 500.0, 9), (2, 500.0, 6)])
     ]
     conf = spark.createDataFrame(

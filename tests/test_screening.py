@@ -14,7 +14,7 @@ def pixels(spark, rows):
     full = []
     for i, (day, tile, scl, prob, b4, b5) in enumerate(rows):
         ts = dt.datetime(day.year, day.month, day.day, 10, 50 + tile)
-        full.append((i, 1, day, tile, ts, 20.0 * i, 0.0, 400.0, 300.0, b4, b5, 800.0, 700.0, 500.0, scl, prob, 10))
+        full.append((i, 1, day, tile, ts, 20.0 * i, 0.0, 400.0, 300.0, b4, b5, 800.0, 700.0, 500.0, scl, prob, 10.0))
     return spark.createDataFrame(full, PIXEL)
 
 

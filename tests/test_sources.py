@@ -106,7 +106,7 @@ def test_pixel_table_prunes_months(spark, tmp_path):
     rows = []
     for i, day in enumerate([dt.date(2020, 1, 5), dt.date(2020, 2, 5), dt.date(2020, 2, 20), dt.date(2020, 4, 1)]):
         ts = dt.datetime(day.year, day.month, day.day, 10)
-        rows.append((i, 1 + i % 2, day, 0, ts, 0.0, 0.0, 400.0, *[1.0] * 6, 6, 0, 5))
+        rows.append((i, 1 + i % 2, day, 0, ts, 0.0, 0.0, 400.0, *[1.0] * 6, 6, 0, 5.0))
     path = str(tmp_path / "pixel")
     pixels.write_pixels(spark.createDataFrame(rows, PIXEL), path)
     found = pixels.read_pixels(spark, path, "2020-02-01", "2020-02-20")
