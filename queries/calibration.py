@@ -17,6 +17,18 @@ SQL_NAMES = dict(zip(PREDICTORS, ("ndci", "r740", "tb783")))
 SINGLE = ("NDCI_705_665",)
 
 
+def _line(prefix: str = "") -> str:
+    """Least squares in SQL; with one value of the predictor it is the flat line through the mean."""
+    y, x = f"{prefix}y_true", f"{prefix}ndci"
+    return (
+        f"case when var_pop({x}) > 0 then regr_slope({y}, {x}) else 0e0 end b,"
+        f" case when var_pop({x}) > 0 then regr_intercept({y}, {x}) else avg({y}) end a"
+    )
+
+
+_LINE, _T_LINE = _line(), _line("t.")
+
+
 def rows(spark, sf, predictors=PREDICTORS):
     return plan.calibration_input(prepared(spark, sf), s.pixel(spark, sf), predictors)
 
@@ -144,10 +156,10 @@ def penalised_fit_single(spark, sf):
 
 _SINGLE_FIT = s.with_views(
     "folded",
-    train_fit="select reservoir_id, variable, regr_slope(y_true, ndci) b, regr_intercept(y_true, ndci) a from folded group by 1,2",
+    train_fit=f"select reservoir_id, variable, {_LINE} from folded group by 1,2",
     pred="""select c.reservoir_id, c.variable, c.d, c.split, c.y_true, f.a + f.b*c.ndci y_pred from cleaned c
       join train_fit f using (reservoir_id, variable) where c.split <> 'outlier'""",
-    fold_fit="""select t.reservoir_id, t.variable, f.fold, regr_slope(t.y_true, t.ndci) b, regr_intercept(t.y_true, t.ndci) a
+    fold_fit=f"""select t.reservoir_id, t.variable, f.fold, {_T_LINE}
       from folded t join (select distinct reservoir_id, variable, fold from folded) f
       on f.reservoir_id = t.reservoir_id and f.variable = t.variable and t.fold <> f.fold group by 1,2,3""",
     fold_score="""select f.reservoir_id, f.variable, f.fold,
@@ -198,7 +210,7 @@ def model_metrics_linear(spark, sf):
 
 _TIME_FIT = s.with_views(
     "folded",
-    block_fit="""select t.reservoir_id, t.variable, f.block, regr_slope(t.y_true, t.ndci) b, regr_intercept(t.y_true, t.ndci) a
+    block_fit=f"""select t.reservoir_id, t.variable, f.block, {_T_LINE}
       from folded t join (select distinct reservoir_id, variable, block from folded where block > 0) f
       on f.reservoir_id = t.reservoir_id and f.variable = t.variable and t.block < f.block group by 1,2,3""",
     block_score="""select reservoir_id, variable, block, count(*) n, sqrt(avg((y_true - (a + b*ndci))**2)) rmse,
@@ -316,7 +328,7 @@ def calibrated_daily_mean(spark, sf):
 @query(
     s.with_views(
         "gated", "pixel",
-        model="""select reservoir_id, regr_slope(y_true, ndci) b, regr_intercept(y_true, ndci) a, median(ndci) fill
+        model=f"""select reservoir_id, {_LINE}, median(ndci) fill
           from gated where variable = 'phycocyanin' group by 1""",
         v=f"""select p.*, a + b*coalesce({SQL_PREDICTOR['NDCI_705_665']}, fill) as band from pixel p join model using (reservoir_id)""",
     )
