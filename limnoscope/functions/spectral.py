@@ -154,7 +154,7 @@ def index_column(name: str) -> Column:
 
 def check_bands(pixels: DataFrame, names: Sequence[str]) -> DataFrame:
     """Fail before the job starts when a band of a wanted index is absent."""
-    wanted = lookup([n for n in names if n not in pixels.columns])
+    wanted = lookup([n for n in names if n in _registry or n not in pixels.columns])
     needed = {b for i in wanted for b in i.bands}
     if any(i.cloud_masked for i in wanted):
         needed.add("scl")

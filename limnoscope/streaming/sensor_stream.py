@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from limnoscope.operators.quantiles import distribution_from_counts
+from limnoscope.operators.sizing import SALTS
 from limnoscope.schemas import SENSOR, SENSOR_IDENTITY
 
 
@@ -22,10 +23,19 @@ def read_feed(spark: SparkSession, path: str, schema=SENSOR, files_per_trigger:
 
 
 def drop_repeated(
-    feed: DataFrame, identity: Sequence[str] = SENSOR_IDENTITY, ts: str = "date_time", delay: str = "2 days"
+    feed: DataFrame, identity: Sequence[str] = SENSOR_IDENTITY, ts: str = "date_time", delay: str = "2 days",
+    salt_from: Sequence[str] = (),
 ) -> DataFrame:
-    """The delay must exceed the time after which a row may be delivered again."""
-    return feed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(identity))
+    """The delay must exceed the time after which a row may be delivered again.
+
+    With `salt_from`, columns in which copies differ (arrival number, file), copies are first reduced
+    to one per salt, so the task that holds a row copied very often sees few of them.
+    """
+    once = feed.withWatermark(ts, delay)
+    if salt_from:
+        salted = once.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(SALTS)).cast("int"))
+        once = salted.dropDuplicatesWithinWatermark([*identity, "_salt"]).drop("_salt")
+    return once.dropDuplicatesWithinWatermark(list(identity))
 
 
 def append_to(feed: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:

@@ -135,7 +135,9 @@ def _sensor_pages(spark, sf):
         F.lit("</td><td>"), comma(F.col("value") / 10), F.lit("</td><td class='"), valid, F.lit("'><b>"),
         comma(F.col("value") + 100), F.lit("</b></td></tr><tr><td>sin dato</td><td>-</td><td></td><td></td></tr></tbody></TABLE></body></html>"),
     )
-    return s.samples(spark, sf).select(F.col("event_id").alias("page_id"), html.alias("html"))
+    # Reading a page costs far more than moving a narrow sample, and a small file is one split.
+    spread = s.samples(spark, sf).repartition("event_id")
+    return spread.select(F.col("event_id").alias("page_id"), html.alias("html"))
 
 
 @query(
@@ -223,7 +225,8 @@ def _event_stream(spark, sf):
 def stream_sensor_dedupe(spark, sf):
     """The repeated feed as a stream into a table, each row once."""
     path, marks = scratch_path(spark, "stream"), scratch_path(spark, "stream-marks")
-    once = sensor_stream.drop_repeated(s.feed_of(_event_stream(spark, sf)), SENSOR_IDENTITY, delay="7 days")
+    arrivals = s.feed_of(_event_stream(spark, sf))
+    once = sensor_stream.drop_repeated(arrivals, SENSOR_IDENTITY, delay="7 days", salt_from=["ingest_id"])
     sensor_stream.append_to(once, path, marks).awaitTermination()
     return spark.read.parquet(path).select(
         stamp("date_time").alias("date_time"), "reservoir_code", "phycocyanin", fixed("water_temp").alias("water_temp"), "depth"

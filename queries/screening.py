@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.operators import screening, spatial
+from limnoscope.plans import screening as plan
 from queries import standins as s
 from queries.registry import fixed, query, sql_fixed, sql_stamp, stamp
 
@@ -78,6 +79,21 @@ def valid_dates(spark, sf):
     return found.select("reservoir_id", "scene_date", fixed("cloud_pct").alias("cloud_pct"))
 
 
+@query(
+    s.with_views(
+        "pixel", "edge", clipped=_INSIDE + f" and p.scene_date >= date '{START}' and p.scene_date < date '{LATE_END}'",
+        scene=s.VIEWS["scene"].replace("from pixel", "from clipped"),
+    )
+    + f"""select reservoir_id, scene_date, {sql_fixed('cloud_pct')} cloud_pct from (
+      select *, row_number() over (partition by reservoir_id, scene_date order by scene_ts, tile) rn
+      from scene where cloud_pct <= 60 and coverage_count_pct >= 50) where rn = 1 order by 1, 2"""
+)
+def usable_dates(spark, sf):
+    """Usable dates of a range over the areas, as the stored list of valid dates holds them."""
+    found = plan.usable_dates(s.pixel(spark, sf), START, LATE_END, s.aoi(spark, sf))
+    return found.select("reservoir_id", "scene_date", fixed("cloud_pct").alias("cloud_pct"))
+
+
 @query(
     s.with_views("scene")
     + """select distinct reservoir_id, scene_date from scene where coverage_count_pct >= 90 and cloud_pct is not null"""

@@ -106,6 +106,17 @@ def test_stream_dedupe_equals_batch(spark, tmp_path):
     assert run() == 21  # the checkpoint remembers what came before
 
 
+def test_stream_dedupe_of_a_hot_row(spark, tmp_path):
+    landed = str(tmp_path / "in")
+    copies = feed(spark, [(1, 1.0, None)] * 300 + [(h, 2.0, None) for h in range(10)])
+    numbered = copies.coalesce(1).withColumn("arrival", F.monotonically_increasing_id())
+    land(landed, [numbered, numbered.where("arrival < 50")])
+    stream = sensor_stream.read_feed(spark, landed, numbered.schema, files_per_trigger=1)
+    once = sensor_stream.drop_repeated(stream, salt_from=["arrival"])
+    sensor_stream.append_to(once, str(tmp_path / "out"), str(tmp_path / "m")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 11
+
+
 def test_stream_daily_statistics_equal_batch(spark, tmp_path):
     rows = [(h, float((h * 7) % 11), None) for h in range(0, 60)]
     landed = str(tmp_path / "in")
