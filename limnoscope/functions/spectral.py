@@ -36,7 +36,12 @@ def _normalised(a: Column, b: Column) -> Column:
 
 def _red_edge_peak(r: Bands) -> Column:
     # Height of 705 nm over the line from 665 to 740 nm.
-    return r["b5"] - r["b4"] - (r["b6"] - r["b4"]) * (40.0 / 75.0)
+    return r["b5"] - r["b4"] - (r["b6"] - r["b4"]) * 40.0 / 75.0
+
+
+def _above_baseline(r: Bands) -> Column:
+    # The same height, added up from the baseline; the last digit may differ.
+    return r["b5"] - (r["b4"] + (r["b6"] - r["b4"]) * (40.0 / 75.0))
 
 
 def _logistic(top: float, slope: float, middle: float, x: Column) -> Column:
@@ -92,7 +97,7 @@ _WATER_QUALITY = [
 # Names and formulas of the calibration predictors.
 _PREDICTORS = [
     SpectralIndex("NDCI_705_665", ("b4", "b5"), _ndi("b5", "b4")),
-    SpectralIndex("MCI_705", ("b4", "b5", "b6"), _red_edge_peak),
+    SpectralIndex("MCI_705", ("b4", "b5", "b6"), _above_baseline),
     SpectralIndex("R705_R665", ("b4", "b5"), _ratio("b5", "b4")),
     SpectralIndex("R740_R665", ("b4", "b6"), _ratio("b6", "b4")),
     SpectralIndex("R783_R665", ("b4", "b7"), _ratio("b7", "b4")),
