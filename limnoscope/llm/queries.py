@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limnoscope.llm import near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from limnoscope.llm import html_density, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def public_model(name: str = "piece_bpe_32k.model") -> str:
+    """A public vocabulary file; it stays where its package put it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.digests(docs, public_model())
+
+
 @query()
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and kept document of every group of near copies."""
@@ -55,3 +69,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the divergence rules for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.verdicts(docs).drop("text")
+
+
+@query()
+def op10_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
