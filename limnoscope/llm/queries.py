@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limnoscope.llm import html_density, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
+from limnoscope.llm import html_density, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(docs).drop("text")
 
 
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(docs, pii.fit(docs))
+
+
 @query()
 def op10_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
