@@ -5,9 +5,9 @@ A document's set holds the 64-bit hashes of its word shingles. One hash orders t
 sequence (optimal densification). `rows` bins make a band; a band's key is a bucket.
 
 Copies with the same set are one node from the start. In each bucket, a node is paired with the bucket's centre only, so
-pairs are bounded by bucket rows, and of its centres a node checks the one that shares most bands. Links are confirmed
-on the full sets. Rounds go on with other centres where a bucket still holds several components, until every node has
-checked all its centres or two rounds in a row find no new link. Two sets of similarity 0.8 share no bucket with
+pairs are bounded by bucket rows, and of its centres a node first checks the one that shares most bands. Links are confirmed
+on the full sets. Rounds go on with other centres where a bucket still holds several components, until no pair is
+left or two rounds in a row find no new link. Two sets of similarity 0.8 share no bucket with
 probability (1 - 0.8**4)**32, about 5e-8.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; repeated rows and rows that share an
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .where("low <> high")
             .select("key", "c.centre", "c.its")
         )
-        pairs = placed.join(centres, "key").where("component <> its").select("node", "centre").distinct()
+        pairs = placed.join(centres, "key").where("component <> its").groupBy("node", "centre").agg(F.count("*").alias("shared"))
         if checked is not None:
             pairs = pairs.join(checked, ["node", "centre"], "left_anti")
         common = F.size(F.array_intersect("keys", "centre_keys"))
@@ -178,21 +178,22 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .select("node", "centre", common.alias("common"))
             .where(F.col("common") >= FEWEST_BANDS)
         )
-        best = settled(
-            scored.groupBy("node").agg(F.max_by("centre", F.struct("common", F.xxhash64("node", "centre"))).alias("centre"))
-        )
-        if best.isEmpty():
+        if round_ == 0:
+            # Most nodes of a group join it by their likeliest link; later rounds check all pairs that are left.
+            scored = scored.groupBy("node").agg(F.max_by("centre", F.struct("common", F.xxhash64("node", "centre"))).alias("centre"))
+        pairs = settled(scored.select("node", "centre"))
+        if pairs.isEmpty():
             break
         inter = F.size(F.array_intersect("grams", "centre_grams"))
         confirmed = settled(
-            best.join(sets, "node")
+            pairs.join(sets, "node")
             .join(sets.select(F.col("node").alias("centre"), F.col("grams").alias("centre_grams")), "centre")
             .where(F.least(F.size("grams"), F.size("centre_grams")) * 100 >= sketch.percent * F.greatest(F.size("grams"), F.size("centre_grams")))
             .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
             .where(100 * F.col("inter") >= sketch.percent * (F.col("sizes") - F.col("inter")))
             .select(F.col("node").alias("a"), F.col("centre").alias("b"))
         )
-        both = best.unionByName(best.select(F.col("centre").alias("node"), F.col("node").alias("centre")))
+        both = pairs.unionByName(pairs.select(F.col("centre").alias("node"), F.col("node").alias("centre")))
         checked = settled(both if checked is None else checked.unionByName(both))
         round_ += 1
         if confirmed.isEmpty():
