@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from limnoscope.llm import bilstm_crf as net
 from limnoscope.llm.rows import free_name
@@ -313,6 +314,6 @@ def redact(docs: DataFrame, model: dict, column: str = "text", settings: Setting
             done = [None if g is None else _masked(t, sorted(a + b, key=lambda s: (s[0], s[2]))) for g, t, a, b in zip(given, texts, base, more)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, key])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([*docs.schema.fields, StructField(key, StringType())])
     order = [F.col(key).alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns]
-    return docs.mapInArrow(run, f"{schema}, `{key}` string").select(*order)
+    return docs.mapInArrow(run, schema).select(*order)

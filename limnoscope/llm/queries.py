@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limnoscope.llm import html_density, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
+from limnoscope.llm import (
+    chat_collapse,
+    decontaminate,
+    html_density,
+    near_dedup,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +49,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def public_model(name: str = "piece_bpe_32k.model") -> str:
     """A public vocabulary file; it stays where its package put it."""
     import public_tokenizers
@@ -71,6 +88,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(docs).drop("text")
 
 
+@query(
+    """
+    with turns as (select distinct conv_id, turn, role, text from conversations),
+    ordered as (
+        select *, row_number() over w as turn_no, count(*) over (partition by conv_id) as n_turns,
+               string_agg(coalesce(turn, -1) || chr(1) || coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)), chr(2)) over w as prefix
+        from turns
+        window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first rows unbounded preceding)
+    ),
+    wholes as (select prefix, min(conv_id) as conv_id from ordered where turn_no = n_turns group by prefix),
+    kept as (select conv_id from wholes where prefix not in (select prefix from ordered where turn_no < n_turns))
+    select conv_id, n_turns, turn_no, role, text, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as rendered
+    from ordered where conv_id in (select conv_id from kept)
+    """
+)
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of every conversation that no longer conversation begins with."""
+    return chat_collapse.maximal_turns(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""

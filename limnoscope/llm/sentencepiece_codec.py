@@ -26,6 +26,7 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from limnoscope.llm.rows import free_name
 
@@ -331,7 +332,8 @@ def encode(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
     data = _model_bytes(docs, model_path)
     key = free_name(docs, "codec")
     rows = docs.withColumn(key, F.coalesce(F.col(column).cast("string"), F.lit(""))).drop("ids", "begins", "ends")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != key)
+    added = [StructField(n, ArrayType(kind)) for n, kind in (("ids", IntegerType()), ("begins", LongType()), ("ends", LongType()))]
+    schema = StructType([*(f for f in rows.schema.fields if f.name != key), *added])
 
     def run(batches):
         model = _loaded(data.value)
@@ -341,7 +343,7 @@ def encode(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
             arrays = [pa.array([g[k] for g in got], pa.list_(pa.int64() if k else pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "ids", "begins", "ends"])
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, begins array<long>, ends array<long>")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model_path: str, column: str = "ids", out: str = "text") -> DataFrame:
@@ -356,14 +358,17 @@ def decode(rows: DataFrame, model_path: str, column: str = "ids", out: str = "te
     return rows.withColumn(out, to_text(F.col(column)))
 
 
-def digests(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, last_end): ids and decoded text as digests, the last span's end."""
+def digests(docs: DataFrame, model_path: str, column: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, last_end): ids and decoded text as digests, the last span's end.
+
+    With `with_ids`, the ids follow as an array.
+    """
     data = _model_bytes(docs, model_path)
 
     def run(batches):
         model = _loaded(data.value)
         for batch in batches:
-            n, ids_, texts, ends = [], [], [], []
+            n, ids_, texts, ends, kept = [], [], [], [], []
             names = model.names
             for text in batch.column("text").to_pylist():
                 ids, _, end = model.encode(text)
@@ -371,13 +376,16 @@ def digests(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame
                 ids_.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 texts.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
                 ends.append(end[-1] if end else 0)
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            more = [pa.array([x.to_numpy() for x in kept], pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(texts, pa.string()), pa.array(ends, pa.int64())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "last_end"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(texts, pa.string()), pa.array(ends, pa.int64()), *more],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "last_end", *(["ids"] if with_ids else [])],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long" + (", ids array<int>" if with_ids else ""))
 
 
 def _model_bytes(df: DataFrame, path: str):
