@@ -16,9 +16,9 @@ from limnoscope.session import scratch_path
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules keep."""
-    # The row travels as a whole, so columns named like the rules' own are untouched.
-    whole = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return quality_rules.verdicts(whole).where("kept").select("row.*")
+    # A prefix that no column has leaves columns named like the rules' own untouched.
+    prefix = free_name(docs, "rule_")
+    return quality_rules.verdicts(docs, prefix=prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

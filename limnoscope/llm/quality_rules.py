@@ -65,10 +65,10 @@ def _chars(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{pattern}]+", ""))
 
 
-def verdicts(docs: DataFrame, column: str = "text", limits: Limits = Limits()) -> DataFrame:
+def verdicts(docs: DataFrame, column: str = "text", limits: Limits = Limits(), prefix: str = "") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept.
 
-    Columns of those names in the input are replaced. `base_failed`: fewer than 50 words, or over half of the words in
+    The names get the prefix; columns of those names in the input are replaced. `base_failed`: fewer than 50 words, or over half of the words in
     3-word windows that the text holds twice or more. `kept`: the base passed and both distances to the nearest
     language are within limits.
 
@@ -119,14 +119,14 @@ def verdicts(docs: DataFrame, column: str = "text", limits: Limits = Limits()) -
     d = d.withColumn(lines, F.filter(F.split(c(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumns(
         {
-            "n_words": F.size(tokens).cast("long"),
-            "word_chars": F.length(F.array_join(tokens, "")).cast("long"),
-            "n_symbols": _chars(c(rest), "#*$%&|<>").cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
+            f"{prefix}n_words": F.size(tokens).cast("long"),
+            f"{prefix}word_chars": F.length(F.array_join(tokens, "")).cast("long"),
+            f"{prefix}n_symbols": _chars(c(rest), "#*$%&|<>").cast("long"),
+            f"{prefix}n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            f"{prefix}n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
         }
     )
-    n, total = c("n_words"), c(chars)
+    n, total = c(f"{prefix}n_words"), c(chars)
     shares = F.concat(classes, F.array(total - F.aggregate(classes, F.lit(0), lambda a, x: a + x))).cast("array<double>")
 
     def histogram(words_of: str) -> Column:
@@ -139,11 +139,14 @@ def verdicts(docs: DataFrame, column: str = "text", limits: Limits = Limits()) -
 
     d = d.withColumns(
         {
-            "class_distance": nearest([js_distance(shares, total, list(x)) for x in limits.class_shares.values()]),
-            "word_distance": nearest([js_distance(histogram(x), n, word_reference(x)) for x in limits.common_words.values()]),
-            "base_failed": (n < 50) | (100 * c("n_repeat_words") > 50 * n),
+            f"{prefix}class_distance": nearest([js_distance(shares, total, list(x)) for x in limits.class_shares.values()]),
+            f"{prefix}word_distance": nearest([js_distance(histogram(x), n, word_reference(x)) for x in limits.common_words.values()]),
+            f"{prefix}base_failed": (n < 50) | (100 * c(f"{prefix}n_repeat_words") > 50 * n),
         }
     )
-    divergent = (c("class_distance") > limits.max_class_distance) | (c("word_distance") > limits.max_word_distance)
-    d = d.withColumn("kept", ~c("base_failed") & ~F.coalesce(divergent, F.lit(False)))
+    divergent = (c(f"{prefix}class_distance") > limits.max_class_distance) | (c(f"{prefix}word_distance") > limits.max_word_distance)
+    # Always true, but not deterministic to the optimiser: a filter on the verdict stays above these projections instead
+    # of being pushed to the scan with all their expressions written out in it, over and over.
+    settled_here = F.monotonically_increasing_id() >= 0
+    d = d.withColumn(f"{prefix}kept", settled_here & ~c(f"{prefix}base_failed") & ~F.coalesce(divergent, F.lit(False)))
     return d.drop(text, tokens, grams, order, at, common, rest, chars, classes, hist, lines)
