@@ -5,10 +5,10 @@ A document's set holds the 64-bit hashes of its word shingles. One hash orders t
 sequence (optimal densification). `rows` bins make a band; a band's key is a bucket.
 
 Copies with the same set are one node from the start. In each bucket, a node is paired with the bucket's centre only, so
-pairs are bounded by bucket rows, and of its centres a node first checks the one that shares most bands. Links are confirmed
-on the full sets. Rounds go on with other centres where a bucket still holds several components, until no pair is
-left or two rounds in a row find no new link. Two sets of similarity 0.8 share no bucket with
-probability (1 - 0.8**4)**32, about 5e-8.
+pairs are bounded by bucket rows. First a node checks the centre that shares most bands with it; from then on all pairs
+with centres in other components are checked, centres leave their buckets, and rounds go on while a bucket still holds
+several components, until none does or two rounds in a row find no new link. Links are confirmed on the full sets. Two
+sets of similarity 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; repeated rows and rows that share an
 id are one node; a row without an id is linked with nothing and its component is null; extra columns are not returned;
@@ -152,51 +152,51 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = settled(full_sets(texts.join(bands.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), sketch))
 
-    links, checked, labels = None, None, None
+    links, labels = None, None
     round_, idle = 0, 0
     while idle < 2:
-        if labels is None:
-            placed = rows.withColumn("component", F.col("node"))
-        else:
+        placed = rows.withColumn("component", F.col("node"))
+        if labels is not None:
             placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        centres = (
+        # Buckets that still hold several components, and the smallest node of each as its centre.
+        mixed = (
             placed.groupBy("key")
-            .agg(
-                F.min("component").alias("low"), F.max("component").alias("high"),
-                F.min(F.struct(F.xxhash64("node", "key", F.lit(round_)).alias("rank"), F.col("node").alias("centre"), F.col("component").alias("its"))).alias("c"),
-            )
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("centre"))
             .where("low <> high")
-            .select("key", "c.centre", "c.its")
+            .select("key", "centre")
         )
-        pairs = placed.join(centres, "key").where("component <> its").groupBy("node", "centre").agg(F.count("*").alias("shared"))
-        if checked is not None:
-            pairs = pairs.join(checked, ["node", "centre"], "left_anti")
+        placed = settled(placed.join(mixed, "key"))
+        pairs = placed.where("node <> centre").select("node", "centre", "component").distinct()
+        if labels is not None:
+            pairs = pairs.join(labels.toDF("centre", "its"), "centre", "left").where("component <> coalesce(its, centre)")
         common = F.size(F.array_intersect("keys", "centre_keys"))
         scored = (
             pairs.join(bands, "node")
-            .join(bands.select(F.col("node").alias("centre"), F.col("keys").alias("centre_keys")), "centre")
+            .join(bands.toDF("centre", "centre_keys"), "centre")
             .select("node", "centre", common.alias("common"))
             .where(F.col("common") >= FEWEST_BANDS)
         )
         if round_ == 0:
-            # Most nodes of a group join it by their likeliest link; later rounds check all pairs that are left.
-            scored = scored.groupBy("node").agg(F.max_by("centre", F.struct("common", F.xxhash64("node", "centre"))).alias("centre"))
-        pairs = settled(scored.select("node", "centre"))
-        if pairs.isEmpty():
-            break
+            # Most nodes of a group join it by their likeliest link, so few pairs are left to check.
+            pairs = settled(scored.groupBy("node").agg(F.max_by("centre", "common").alias("centre")))
+            rows = placed.select("node", "key")
+        else:
+            # All pairs with the centre get checked, so the centre leaves its bucket.
+            pairs = settled(scored.select("node", "centre"))
+            rows = placed.where("node <> centre").select("node", "key")
+        round_ += 1
         inter = F.size(F.array_intersect("grams", "centre_grams"))
         confirmed = settled(
             pairs.join(sets, "node")
-            .join(sets.select(F.col("node").alias("centre"), F.col("grams").alias("centre_grams")), "centre")
+            .join(sets.toDF("centre", "centre_grams"), "centre")
             .where(F.least(F.size("grams"), F.size("centre_grams")) * 100 >= sketch.percent * F.greatest(F.size("grams"), F.size("centre_grams")))
             .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
             .where(100 * F.col("inter") >= sketch.percent * (F.col("sizes") - F.col("inter")))
             .select(F.col("node").alias("a"), F.col("centre").alias("b"))
         )
-        both = pairs.unionByName(pairs.select(F.col("centre").alias("node"), F.col("node").alias("centre")))
-        checked = settled(both if checked is None else checked.unionByName(both))
-        round_ += 1
         if confirmed.isEmpty():
+            if rows.isEmpty():
+                break
             idle += 1
             continue
         idle = 0

@@ -21,7 +21,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from limnoscope.llm.rows import free_name
 
 SPACE = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -136,10 +136,16 @@ class Model:
         # A run of spaces starts a chunk; characters that stand in no longer piece are chunks of their own.
         alone = re.escape("".join(chr(c) for c in range(9, 127) if chr(c) != " " and chr(c) not in joined))
         lone = f"[{alone}]|" if alone else ""
+        # Unknown characters merge with nothing, so each is a piece of its own.
         self.chunk = re.compile(r"[\s\S]+" if crossing else f"{lone}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
         # Text of each id where it does not hang on its neighbours; the others are decoded one by one.
         self.plain = [chr(int(p[3:5], 16)) if k == 6 else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
         self.special = {k for k, kind in enumerate(self.kinds) if kind in (2, 3) or kind == 6 and int(self.pieces[k][3:5], 16) > 127}
+        byte = [int(p[3:5], 16) if k == 6 else 0 for p, k in zip(self.pieces, self.kinds)]
+        self.is_byte = np.array([k == 6 for k in self.kinds])
+        self.continues = np.array([128 <= b < 192 for b in byte])
+        self.lengths = np.array([len(p) for p in self.pieces])
+        self.sizes = np.where(self.is_byte, 1, [len(p.replace(SPACE, " ").encode()) for p in self.pieces])
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text and the original byte length of every character; None where it is the plain length."""
@@ -225,59 +231,63 @@ class Model:
                     heapq.heappush(heap, (-scores[before], left[k], before))
         return [p for p in parts if p]
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
-        """Ids, and per id the characters and the original bytes (a space counts one) it covers."""
-        ids, chars, sizes = [], [], []
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of one chunk; a character without a piece gives its bytes."""
+        out = []
         for piece in self.merge(chunk):
             known = self.ids.get(piece)
-            raw = piece.replace(SPACE, " ").encode()
             if known is not None:
-                ids.append(known)
-                chars.append(len(piece))
-                sizes.append(len(raw))
+                out.append(known)
             elif self.byte_ids:
-                # The last byte's piece covers the character; those before it have an empty span at its start.
-                raw = piece.encode()
-                ids += [self.byte_ids[b] for b in raw]
-                chars += [0] * (len(raw) - 1) + [1]
-                sizes += [1] * len(raw)
+                out += [self.byte_ids[b] for b in piece.encode()]
             else:
-                ids.append(self.unknown)
-                chars.append(len(piece))
-                sizes.append(len(raw))
-        return tuple(ids), tuple(chars), tuple(sizes)
+                out.append(self.unknown)
+        return tuple(out)
 
-    def chunks(self, text: str) -> list:
-        """Encoded chunks of a normalised text."""
+    def encode_ids(self, norm: str) -> list[int]:
+        """Ids of a normalised text. Chunks met before are remembered; the memory is emptied when full."""
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        out = []
-        for c in self.chunk.findall(text):
-            got = memory.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) < 100:
-                    memory[c] = got
-            out.append(got)
+        chunks = self.chunk.findall(norm)
+        for c in set(chunks).difference(memory):
+            memory[c] = self._chunk(c)
+        out = list(chain.from_iterable(map(memory.__getitem__, chunks)))
+        for c in self.long_chunks(chunks):
+            memory.pop(c, None)
         return out
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+    @staticmethod
+    def long_chunks(chunks: list[str]) -> list[str]:
+        """Chunks too long to be worth remembering."""
+        return [c for c in chunks if len(c) > 100]
+
+    def spans(self, ids: list[int], norm: str, owned: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end byte of each id in the original text.
+
+        A piece's characters are summed up along the text and projected by the bytes each of them owns. Of the bytes
+        that stand for one character, the last one's piece covers it; those before it are empty spans at its start.
+        """
+        at = np.array(ids, dtype=np.int64)
+        if not len(at):
+            return at, at
+        if owned is None and self.unknown not in ids:
+            # Without a character map a piece covers its own bytes, a space one, the added space none.
+            ends = np.cumsum(self.sizes[at]) - int(self.prefix_space)
+        else:
+            follows = np.append(self.continues[at[1:]], False)
+            chars = np.where(self.is_byte[at], ~follows, self.lengths[at])
+            if self.unknown in ids:  # each unknown piece is one character of the text
+                chars = np.where(at == self.unknown, 1, chars)
+            bytes_ = owned or [0 if self.prefix_space and k == 0 else 1 if c == SPACE else len(c.encode()) for k, c in enumerate(norm)]
+            ends = np.concatenate([[0], np.cumsum(bytes_)])[np.cumsum(chars)]
+        return np.maximum(np.concatenate([[0], ends[:-1]]), 0), ends
+
+    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids and each id's begin and end byte in the original text."""
         norm, owned = self.normalise(text or "")
-        if not norm:
-            return [], [], []
-        found = self.chunks(norm)
-        ids = list(chain.from_iterable(c[0] for c in found))
-        if owned is None:
-            sizes = list(chain.from_iterable(c[2] for c in found))
-            ends = list(accumulate(sizes))
-            if self.prefix_space:  # the added space has no bytes
-                ends = [e - 1 for e in ends]
-        else:
-            edge = [0, *accumulate(owned)]
-            ends = [edge[e] for e in accumulate(chain.from_iterable(c[1] for c in found))]
-        return ids, [max(0, b) for b in [0, *ends[:-1]]], ends
+        ids = self.encode_ids(norm) if norm else []
+        return ids, *self.spans(ids, norm, owned)
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: spaces restored, the added one removed, byte pieces joined to characters."""
@@ -375,7 +385,7 @@ def digests(docs: DataFrame, model_path: str, column: str = "text", with_ids: bo
                 n.append(len(ids))
                 ids_.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 texts.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
-                ends.append(end[-1] if end else 0)
+                ends.append(int(end[-1]) if len(end) else 0)
                 if with_ids:
                     kept.append(pa.array(ids, pa.int32()))
             more = [pa.array([x.to_numpy() for x in kept], pa.list_(pa.int32()))] if with_ids else []
