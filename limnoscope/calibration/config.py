@@ -81,17 +81,39 @@ def config_json(config: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in config.columns]))
 
 
-def calibrated_band(pixels: DataFrame, config: DataFrame, predictors: Sequence[str], out: str = "calibrated") -> DataFrame:
+def calibrated_band(
+    pixels: DataFrame, config: DataFrame, predictors: Sequence[str], out: str = "calibrated", variable: str | None = None
+) -> DataFrame:
     """Apply each reservoir's linear configuration to its pixels, clamped at zero and cloud-masked.
 
-    A masked predictor takes its fill value. Reservoirs without a configuration keep NULL.
+    With `variable`, only its configurations count; several for one reservoir are an error, so pixels never multiply.
+    The predictors' order comes from the configuration. A masked predictor takes its fill value. Reservoirs without a
+    configuration keep NULL.
     """
+    return calibrated_bands(pixels, config, predictors, {out: variable})
+
+
+def calibrated_bands(pixels: DataFrame, config: DataFrame, predictors: Sequence[str], bands: dict[str, str | None]) -> DataFrame:
+    """One column per entry of `bands` (column name to variable, None for configurations of any), in one join."""
     spectral.check_bands(pixels, predictors)
-    usable = config.where("available").select("reservoir_id", "intercept", "coefficients", "fill_values")
-    joined = lookup_join(pixels, usable, ["reservoir_id"], ["pixel_id"], how="left")
-    total = F.col("intercept")
-    for i, name in enumerate(predictors):
-        value = F.coalesce(spectral.index_column(name), F.col("fill_values")[i])
-        total = total + value * F.col("coefficients")[i]
-    value = masks.masked(at_least_zero(total), masks.clear_for_indices(F.col("scl")))
-    return joined.withColumn(out, value).drop("intercept", "coefficients", "fill_values")
+    usable = config.where("available")
+    fitted = F.struct("predictor_set", "intercept", "coefficients", "fill_values")
+    picked = []
+    for k, variable in enumerate(bands.values()):
+        mine = F.lit(True) if variable is None else F.col("variable") == variable
+        picked += [F.count(F.when(mine, 1)).alias(f"_n{k}"), F.max(F.when(mine, fitted)).alias(f"_c{k}")]
+    single = usable.groupBy("reservoir_id").agg(*picked)
+    for k in range(len(bands)):
+        several = F.raise_error(F.concat(F.lit("several configurations for reservoir "), F.col("reservoir_id").cast("string")))
+        single = single.withColumn(f"_c{k}", F.when(F.col(f"_n{k}") > 1, several.cast(single.schema[f"_c{k}"].dataType)).otherwise(F.col(f"_c{k}")))
+    single = single.select("reservoir_id", *[f"_c{k}" for k in range(len(bands))])
+    joined = lookup_join(pixels, single, ["reservoir_id"], ["pixel_id"], how="left")
+    columns = {}
+    for k, out in enumerate(bands):
+        total = F.col(f"_c{k}.intercept")
+        for name in predictors:
+            at = F.array_position(F.col(f"_c{k}.predictor_set"), name).cast("int")
+            value = F.coalesce(spectral.index_column(name), F.get(F.col(f"_c{k}.fill_values"), at - 1))
+            total = total + F.when(at > 0, value * F.get(F.col(f"_c{k}.coefficients"), at - 1)).otherwise(F.when(at == 0, 0.0))
+        columns[out] = masks.masked(at_least_zero(total), masks.clear_for_indices(F.col("scl")))
+    return joined.withColumns(columns).drop(*[f"_c{k}" for k in range(len(bands))])

@@ -90,12 +90,14 @@ def product_sums(designs: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
 
     def multiply(batches):
         for batch in batches:
-            for key, block in batch.groupby(keys, sort=False):
+            for key, block in batch.groupby(keys, sort=False, dropna=False):
                 x = np.stack(block["x"].to_list())
                 z = np.column_stack([np.ones(len(x)), x, block["y_true"].to_numpy(float)])
                 i, j = np.triu_indices(z.shape[1])
                 sums = pd.DataFrame({"i": i, "j": j, "p": (z.T @ z)[i, j]})
-                yield sums.assign(**dict(zip(keys, key)))[schema.names]
+                # Rows of a NULL key are a group like any other.
+                named = {k: None if pd.isna(v) else v for k, v in zip(keys, key)}
+                yield sums.assign(**named)[schema.names]
 
     partial = designs.select(*keys, "x", F.col("y_true").cast("double")).mapInPandas(multiply, schema)
     return partial.groupBy(*keys, "i", "j").agg(F.sum("p").alias("s"))

@@ -170,14 +170,3 @@ def with_indices(pixels: DataFrame, names: Sequence[str]) -> DataFrame:
     """Add all wanted indices in one projection."""
     check_bands(pixels, names)
     return pixels.withColumns({n: index_column(n) for n in names})
-
-
-def linear_combination(predictors: Sequence[str], coefficients, intercept: float, fills) -> Column:
-    """Calibrated value of a pixel: fitted line over filled predictors, clamped at zero."""
-    if not predictors or len(predictors) != len(coefficients):
-        raise ValueError("one coefficient per predictor is needed")
-    fills = list(fills) if fills is not None and len(fills) == len(predictors) else [0.0] * len(predictors)
-    total = F.lit(float(intercept))
-    for name, coefficient, fill in zip(predictors, coefficients, fills):
-        total = total + filled(index_column(name), fill) * float(coefficient)
-    return at_least_zero(total)

@@ -10,7 +10,7 @@ from limnoscope.functions import spectral, temporal
 from limnoscope.functions.numeric import lenient_double
 from limnoscope.operators import reduction, screening
 from limnoscope.operators.quantiles import grouped_distribution
-from limnoscope.operators.sizing import is_small, lookup_join
+from limnoscope.operators.sizing import lookup_join
 from limnoscope.session import cut_lineage
 
 
@@ -39,15 +39,13 @@ def date_extent(insitu: DataFrame) -> DataFrame:
 def pixels_around(pixels: DataFrame, dates: DataFrame, window_days: int, max_cloud: float) -> DataFrame:
     """Only pixels that can matter: clear enough by metadata and near a field date.
 
-    Both tests are applied before the aggregation. The date test is a broadcast semi join while the
-    dates are few; beyond that it is left out, since matching drops the other scenes anyway.
+    Both tests are applied before the aggregation. The date test is an equi semi join at every size; the planner
+    broadcasts the dates when they turn out small.
     """
     clear = pixels.where(F.col("cloud_meta") <= max_cloud)
     around = F.sequence(F.date_sub("date", window_days), F.date_add("date", window_days))
     wanted = dates.select("reservoir_id", F.explode(around).alias("scene_date")).distinct()
-    if is_small(wanted):
-        return clear.join(F.broadcast(wanted), ["reservoir_id", "scene_date"], "left_semi")
-    return clear
+    return clear.join(wanted, ["reservoir_id", "scene_date"], "left_semi")
 
 
 def scene_features(pixels: DataFrame, predictors: Sequence[str] = spectral.PREDICTOR_NAMES) -> DataFrame:

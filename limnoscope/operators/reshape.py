@@ -89,16 +89,13 @@ def collapse_means(table: DataFrame, keys: Sequence[str], values: Sequence[str],
     return merged.unionByName(others, allowMissingColumns=True)
 
 
-def first_date_column(df: DataFrame, candidates: Sequence[str] = ("Date", "Fecha-hora", "Fecha_dt")) -> DataFrame:
-    """Result-table form: location renamed, the first date column there is as `Fecha`, key columns first."""
-    present = [c for c in candidates if c in df.columns]
-    if not present:
-        raise ValueError(f"no date column among {list(candidates)}")
-    out = df.withColumnRenamed("Point", "Ubicación").withColumn("Fecha", F.col(f"`{present[0]}`").try_cast("timestamp"))
-    out = out.where(F.col("Fecha").isNotNull()).drop(*present)
-    lead = ["Ubicación", "Fecha", "Tipo"]
-    rest = [c for c in out.columns if c not in lead]
-    return out.select(*lead, *[F.col(f"`{c}`") for c in rest])
+def with_reading_time(table: DataFrame, times: Sequence[str], out: str = "ts") -> DataFrame:
+    """One time per row, from the first of the named columns that holds a readable one; rows without any are left out."""
+    known = [F.col(f"`{t}`").try_cast("timestamp") for t in times if t in table.columns]
+    if not known:
+        raise ValueError(f"none of the time columns {list(times)} is there")
+    rest = [F.col(f"`{c}`") for c in table.columns if c not in times]
+    return table.select(F.coalesce(*known).alias(out), *rest).where(F.col(out).isNotNull())
 
 
 def split_means(table: DataFrame, location: str = "location") -> tuple[DataFrame, DataFrame]:
@@ -107,9 +104,14 @@ def split_means(table: DataFrame, location: str = "location") -> tuple[DataFrame
     return table.where(is_mean), table.where(~is_mean)
 
 
-def nest_points(points: DataFrame, reservoir: str = "reservoir") -> DataFrame:
-    """`reservoir -> {point: (lat, lon)}`; a reservoir has a handful of points."""
-    entry = F.struct("point", F.struct("lat", "lon"))
-    return points.groupBy(reservoir).agg(
-        F.map_from_entries(F.array_sort(F.collect_set(entry))).alias("points")
+def nest_points(points: DataFrame, reservoir: str = "reservoir", order: str | None = None) -> DataFrame:
+    """`reservoir -> {point: (lat, lon)}`; a reservoir has a handful of points.
+
+    Of points with one name the last by `order` stays, or without an order the northernmost, then easternmost.
+    """
+    place = F.struct("lat", "lon")
+    last = F.max(place) if order is None else F.max_by(place, F.col(order))
+    single = points.groupBy(reservoir, "point").agg(last.alias("place"))
+    return single.groupBy(reservoir).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("point", "place")))).alias("points")
     )

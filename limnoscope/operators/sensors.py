@@ -51,11 +51,10 @@ def drop_repeated(
     one row per input task.
     """
     rest = [c for c in df.columns if c not in identity and c != ingest_order]
-    kept = df.groupBy(*identity).agg(
-        F.min(ingest_order).alias(ingest_order),
-        *[F.min_by(F.col(c), F.col(ingest_order)).alias(c) for c in rest],
-    )
-    return kept.select(*df.columns)
+    # One value for the whole row, so rows with one ingest number never mix.
+    row = F.struct(ingest_order, *rest)
+    kept = df.groupBy(*identity).agg(F.min_by(row, F.col(ingest_order)).alias("_row"))
+    return kept.select(*identity, "_row.*").select(*df.columns)
 
 
 def merge_sensors(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -78,7 +78,12 @@ def spread_row_number(
         F.sum("_size").over(group).alias("_group_size"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = rows.join(offsets, [*keys, "_bucket"]).withColumn(
+    # Rows of a NULL key are a group like any other.
+    names = {k: f"_o_{k}" for k in [*keys, "_bucket"]}
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    ranked = rows.join(offsets.withColumnsRenamed(names), same).drop(*names.values()).withColumn(
         out, F.col("_ahead") + F.row_number().over(inside)
     )
     if total:

@@ -44,12 +44,17 @@ def aoi_spans(aoi: DataFrame, size: float = PIXEL_SIZE, origin: float = 0.0) ->
 def clip_to_aoi(
     pixels: DataFrame, aoi: DataFrame, size: float = PIXEL_SIZE, origin: float = 0.0, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Pixels whose centre lies inside the polygon of their reservoir."""
+    """Pixels whose centre lies inside a polygon of their reservoir, each once.
+
+    Centres on the grid rows meet the rows' spans; centres beside them are tested against the ring itself.
+    """
     rows = pixels.withColumn("grid_row", grid_row(F.col("y"), size, origin))
+    on_grid = F.abs(F.col("y") - (F.col("grid_row") * F.lit(float(size)) + F.lit(float(origin)))) < 1e-9 * size
     inside = (F.col("x") >= F.col("x_from")) & (F.col("x") < F.col("x_to"))
     spans = aoi_spans(aoi, size, origin)
-    joined = lookup_join(rows, spans, ["reservoir_id", "grid_row"], ["pixel_id"], inside, max_rows=max_rows)
-    return joined.select(*pixels.columns)
+    near = lookup_join(rows.where(on_grid), spans, ["reservoir_id", "grid_row"], ["pixel_id"], inside, "left_semi", max_rows)
+    far = clip_points(rows.where(~on_grid).select(*pixels.columns), aoi, max_rows)
+    return near.select(*pixels.columns).unionByName(far)
 
 
 def clip_points(points: DataFrame, aoi: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,7 +63,7 @@ def clip_points(points: DataFrame, aoi: DataFrame, max_rows: int = BROADCAST_ROW
     inside = geometry.inside_box(F.col("x"), F.col("y")) & geometry.contains(
         F.col("ring"), F.col("x"), F.col("y")
     )
-    joined = lookup_join(points, box, ["reservoir_id"], ["x", "y"], inside, max_rows=max_rows)
+    joined = lookup_join(points, box, ["reservoir_id"], ["x", "y"], inside, "left_semi", max_rows)
     return joined.select(*points.columns)
 
 

@@ -31,10 +31,20 @@ def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
     return union_all([table, rows]).select(*table.columns)
 
 
-def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """New version in which rows named by `changes` take its values, NULL included; the key never changes."""
-    touched = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in touched])
+def update_rows(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """New version in which rows named by `changes` take its values, NULL included; the key never changes.
+
+    Of several changes of one key the last by `order` counts; without an order they are an error.
+    """
+    touched = [c for c in changes.columns if c not in (key, order)]
+    values = F.struct(F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in touched])
+    if order is None:
+        twice = F.raise_error(F.concat(F.lit("several changes of key "), F.col(key).cast("string")))
+        folded = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(values).alias("_c"))
+        folded = folded.select(key, F.when(F.col("_n") > 1, twice.cast(folded.schema["_c"].dataType)).otherwise(F.col("_c")).alias("_c"))
+    else:
+        folded = changes.groupBy(key).agg(F.max_by(values, F.col(order)).alias("_c"))
+    renamed = folded.select(key, "_c.*")
     joined = table.join(renamed, key, "left")
     new = lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
     return joined.select(*[new(c) if c in touched else F.col(c) for c in table.columns])

@@ -88,14 +88,21 @@ def read_sensor_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def read_insitu_uploads(spark: SparkSession, path: str, targets: Sequence[str] | None = None) -> DataFrame:
     """(ts, variable, value) from files with `date`, `time` and any numeric columns."""
-    raw = spark.read.option("header", True).csv(path)
-    missing = {"date", "time"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"missing columns {sorted(missing)}")
-    if targets is None:
-        # As many names as the header has columns.
-        targets = [r.column_name for r in numeric_candidates(raw).collect()]
-    rows = unpivot_targets(raw, targets)
+    # A folder may hold files with columns in any order: each distinct header is read by itself.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files"))
+    frames = []
+    for found in headers.orderBy("header").collect():
+        raw = spark.read.option("header", True).csv(found.files)
+        missing = {"date", "time"} - set(raw.columns)
+        if missing:
+            raise ValueError(f"missing columns {sorted(missing)}")
+        wanted = [t for t in targets if t in raw.columns] if targets is not None else [r.column_name for r in numeric_candidates(raw).collect()]
+        if wanted:
+            frames.append(unpivot_targets(raw, wanted))
+    if not frames:
+        raise ValueError(f"no measured columns in {path}")
+    rows = union_all(frames)
     return rows.select(
         temporal.combined_timestamp(F.col("date"), F.col("time")).alias("ts"), "variable",
         lenient_double(F.col("value")).alias("value"),

@@ -82,15 +82,6 @@ def test_own_index(spark):
         spectral._registry.pop("own_ratio")
 
 
-def test_linear_combination(spark):
-    df = one(spark, scl=6, **BANDS).withColumn("b4", F.lit(None).cast("double"))
-    line = spectral.linear_combination(["R705_R665", "TB_740"], [2.0, 100.0], 1.0, [0.5, 9.0])
-    assert value(df, line) == pytest.approx(1 + 2 * 0.5 + 100 * (-0.01))
-    assert value(df, spectral.linear_combination(["TB_740"], [1000.0], 0.0, None)) == 0.0
-    with pytest.raises(ValueError):
-        spectral.linear_combination(["TB_740"], [], 0.0, None)
-
-
 def test_water_rule(spark):
     rows = spark.sql(
         "select * from values (6, date'2017-01-01'), (2, date'2017-01-01'), (2, date'2018-07-01'), (5, date'2018-07-01') t(scl, d)"

@@ -78,18 +78,20 @@ def test_result_tables(spark):
     table = spark.createDataFrame(
         [("Media_Embalse", "2024-01-01", "Valor Estimado", 1.0, None), ("Media_Embalse", "2024-01-01", "Valor Estimado", None, 2.0),
          ("P1", "2024-01-01", "Valor Estimado", 3.0, None), ("P1", "bad", "Valor Estimado", 3.0, None)],
-        "Point string, Date string, Tipo string, MCI double, NDCI double",
+        "location string, Date string, kind string, MCI double, NDCI double",
     )
-    shown = reshape.first_date_column(table)
-    assert shown.columns == ["Ubicación", "Fecha", "Tipo", "MCI", "NDCI"] and shown.count() == 3
-    merged = reshape.collapse_means(shown, ["Ubicación", "Fecha", "Tipo"], ["MCI", "NDCI"], "Ubicación")
-    means, points = reshape.split_means(merged, "Ubicación")
+    shown = reshape.with_reading_time(table, ["Fecha-hora", "Date"])
+    assert shown.columns == ["ts", "location", "kind", "MCI", "NDCI"] and shown.count() == 3
+    merged = reshape.collapse_means(shown, ["location", "ts", "kind"], ["MCI", "NDCI"])
+    means, points = reshape.split_means(merged)
     assert means.count() == 1 and points.count() == 1
     assert (means.first()["MCI"], means.first()["NDCI"]) == (1.0, 2.0)
     with pytest.raises(ValueError):
-        reshape.first_date_column(table.drop("Date"))
+        reshape.with_reading_time(table.drop("Date"), ["Date"])
 
 
 def test_nested_points(spark):
     points = spark.createDataFrame([("R", "a", 1.0, 2.0), ("R", "b", 3.0, 4.0)], "reservoir string, point string, lat double, lon double")
     assert {k: tuple(v) for k, v in reshape.nest_points(points).first()["points"].items()} == {"a": (1.0, 2.0), "b": (3.0, 4.0)}
+    again = points.unionByName(points.selectExpr("reservoir", "point", "lat + 1 as lat", "lon")).withColumn("n", F.col("lat"))
+    assert tuple(reshape.nest_points(again, order="n").first()["points"]["a"]) == (2.0, 2.0)
