@@ -156,6 +156,8 @@ def _coordinate_descent(a: np.ndarray, b: np.ndarray, l1: float, l2: float) -> n
                 np.abs(slope - l1 * np.sign(exact)) <= np.where(exact == 0, l1, 0.0) + slack
             ):
                 return exact
+    else:
+        raise ArithmeticError(f"coordinate descent did not settle within {MAX_SWEEPS} sweeps")
     return w
 
 

@@ -75,3 +75,17 @@ def test_uploads_with_other_column_orders(spark, tmp_path):
     (tmp_path / "b.csv").write_text("date,time,chl,pc\n2024-01-03,10:00,3,4\n")
     got = {(str(r.ts)[:10], r.variable): r.value for r in files.read_insitu_uploads(spark, str(tmp_path)).collect()}
     assert got == {("2024-01-02", "pc"): 1.0, ("2024-01-02", "chl"): 2.0, ("2024-01-03", "chl"): 3.0, ("2024-01-03", "pc"): 4.0}
+
+
+def test_tree_folds_of_a_time_series_see_the_past_only(spark):
+    """Blocks with levels of their own: the first later block can only be predicted at the first block's level."""
+    from limnoscope.calibration import trees
+
+    rows = [(f"d{p}{k}", float(100 * p), float(k % 3), p) for p in range(3) for k in range(8)]
+    data = spark.createDataFrame(rows, "date string, y_true double, v double, part int")
+    estimator = trees.RandomForestRegressor(featuresCol="features", labelCol="y_true", predictionCol="y_pred", numTrees=3, seed=1)
+    train = trees.VectorAssembler(inputCols=["v"], outputCol="features").transform(data)
+    past = trees._fold_predictions(estimator, {"maxDepth": 2}, train, 1, "timeseries").collect()
+    assert {r.y_pred for r in past} == {0.0}
+    mixed = trees._fold_predictions(estimator, {"maxDepth": 2}, train, 1, "kfold").collect()
+    assert min(r.y_pred for r in mixed) > 10.0
