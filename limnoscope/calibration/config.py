@@ -87,7 +87,7 @@ def calibrated_band(
     """Apply each reservoir's linear configuration to its pixels, clamped at zero and cloud-masked.
 
     With `variable`, only its configurations count; several for one reservoir are an error, so pixels never multiply.
-    The predictors' order comes from the configuration. A masked predictor takes its fill value. Reservoirs without a
+    The predictors' order comes from the configuration; one without `predictor_set` follows `predictors`. A masked predictor takes its fill value. Reservoirs without a
     configuration keep NULL.
     """
     return calibrated_bands(pixels, config, predictors, {out: variable})
@@ -97,6 +97,8 @@ def calibrated_bands(pixels: DataFrame, config: DataFrame, predictors: Sequence[
     """One column per entry of `bands` (column name to variable, None for configurations of any), in one join."""
     spectral.check_bands(pixels, predictors)
     usable = config.where("available")
+    if "predictor_set" not in config.columns:
+        usable = usable.withColumn("predictor_set", F.array(*[F.lit(p) for p in predictors]))
     fitted = F.struct("predictor_set", "intercept", "coefficients", "fill_values")
     picked = []
     for k, variable in enumerate(bands.values()):

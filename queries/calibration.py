@@ -291,6 +291,7 @@ def _given_config(spark, sf):
         key.alias("reservoir_id"), F.lit(True).alias("available"), (key * 0.5 + 1.25).cast("double").alias("intercept"),
         F.array(*[F.lit(c) * (key + 1) for c, _ in _TERMS.values()]).alias("coefficients"),
         F.array(*[F.lit(f) for _, f in _TERMS.values()]).alias("fill_values"),
+        F.array(*[F.lit(n) for n in _TERMS]).alias("predictor_set"),
     )
 
 
@@ -309,6 +310,24 @@ def calibrated_band(spark, sf):
     return band.select("pixel_id", "reservoir_id", fixed("calibrated").alias("calibrated"))
 
 
+@query(
+    s.with_views("pixel", v=f"select pixel_id, reservoir_id, scl, {_BAND} as band from pixel")
+    + "select pixel_id, reservoir_id, " + ", ".join(
+        sql_fixed(f"case when {SQL_CLEAR} then case when {b} < 0 then 0e0 else {b} end end") + f" {n}"
+        for n, b in (("phycocyanin", "band"), ("chlorophyll", "(band + 3e0)"))
+    ) + ", null::double turbidity from v"
+)
+def calibrated_bands_all(spark, sf):
+    """Bands of several variables at once; every pixel stays one row, a variable without configurations is NULL."""
+    given = _given_config(spark, sf)
+    both = given.withColumn("variable", F.lit("phycocyanin")).unionByName(
+        given.withColumn("variable", F.lit("chlorophyll")).withColumn("intercept", F.col("intercept") + 3)
+    )
+    # Configurations name their predictors, so the caller's order does not matter.
+    bands = cfg.calibrated_bands(s.pixel(spark, sf), both, list(_TERMS)[::-1], {v: v for v in ("phycocyanin", "chlorophyll", "turbidity")})
+    return bands.select("pixel_id", "reservoir_id", *[fixed(v).alias(v) for v in ("phycocyanin", "chlorophyll", "turbidity")])
+
+
 @query(
     s.with_views(
         "best", "pixel",

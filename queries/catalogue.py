@@ -87,15 +87,13 @@ def scene_class_counts(spark, sf):
         asked="select distinct reservoir_id, cast(ts as date) as d from samples",
     )
     + f"""select a.reservoir_id, a.d as "date", {sql_fixed('l.cloud_pct')} cloud_pct, l.cloud_pct is not null as known
-    from asked a left join listed l on l.reservoir_id = a.reservoir_id and l.scene_date = a.d
-    where a.d between date '1995-06-01' and date '2000-06-01'"""
+    from asked a left join listed l on l.reservoir_id = a.reservoir_id and l.scene_date = a.d"""
 )
 def valid_date_lookup(spark, sf):
     """Cloud share of asked dates from the stored list; unknown dates stay with NULL."""
     listed = screening.scene_statistics(s.pixel(spark, sf)).where(screening.passes(60, 50))
     listed = listed.withColumnRenamed("scene_date", "date")
     asked = s.samples(spark, sf).select("reservoir_id", F.to_date("ts").alias("date")).distinct()
-    asked = asked.where(F.col("date").between("1995-06-01", "2000-06-01"))
     return screening.cloud_of_dates(asked, listed).select(
         "reservoir_id", "date", fixed("cloud_pct").alias("cloud_pct"), F.col("cloud_pct").isNotNull().alias("known")
     )

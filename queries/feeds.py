@@ -9,21 +9,24 @@ from limnoscope.operators import reshape, sensors, tables
 from limnoscope.plans.ingest import pages_to_sensor_rows
 from limnoscope.schemas import SENSOR_IDENTITY
 from limnoscope.session import scratch_path
-from limnoscope.sources import html_tables, sinks
+from limnoscope.sources import files, html_tables, sinks
 from limnoscope.streaming import sensor_stream
 from queries import standins as s
 from queries.registry import fixed, query, sql_fixed, sql_stamp, stamp
 
 
-def _hourly(samples, types, name):
+def _hourly(samples, name):
+    first = F.coalesce(F.col("event_type").isin(*_FIRST), F.lit(False))
     hour = F.date_trunc("hour", F.col("ts")).alias("ts")
-    return samples.where(F.col("event_type").isin(*types)).groupBy("reservoir_id", hour).agg(F.avg("value").alias(name))
+    mine = first if name == "phycocyanin" else ~first
+    return samples.where(mine).groupBy("reservoir_id", hour).agg(F.avg("value").alias(name))
 
 
-_A, _B = ("click", "view"), ("purchase", "error")
+# Types of the first sensor; all others belong to the second.
+_FIRST = ("click", "view")
 _SENSORS = {
-    n: f"select reservoir_id, date_trunc('hour', ts) as ts, avg(value) {c} from samples where event_type in {t} group by 1,2"
-    for n, c, t in (("a", "phycocyanin", _A), ("b", "chlorophyll", _B))
+    n: f"select reservoir_id, date_trunc('hour', ts) as ts, avg(value) {c} from samples where {no} coalesce(event_type in {_FIRST}, false) group by 1,2"
+    for n, c, no in (("a", "phycocyanin", ""), ("b", "chlorophyll", "not"))
 }
 
 
@@ -37,8 +40,8 @@ def sensor_union(spark, sf):
     samples = s.samples(spark, sf)
     both = reshape.union_all(
         [
-            _hourly(samples, _A, "phycocyanin").withColumn("site", F.lit("a")),
-            _hourly(samples, _B, "chlorophyll").withColumn("site", F.lit("b")),
+            _hourly(samples, "phycocyanin").withColumn("site", F.lit("a")),
+            _hourly(samples, "chlorophyll").withColumn("site", F.lit("b")),
         ]
     )
     return both.select(
@@ -56,7 +59,7 @@ def sensor_full_outer(spark, sf):
     """Two sensors merged on their hour; hours of one sensor only stay."""
     samples = s.samples(spark, sf)
     merged = sensors.merge_sensors(
-        _hourly(samples, _A, "phycocyanin"), _hourly(samples, _B, "chlorophyll"), ["reservoir_id", "ts"]
+        _hourly(samples, "phycocyanin"), _hourly(samples, "chlorophyll"), ["reservoir_id", "ts"]
     )
     return merged.select(
         "reservoir_id", stamp("ts").alias("ts"), fixed("phycocyanin").alias("phycocyanin"),
@@ -250,3 +253,22 @@ def stream_daily_stats(spark, sf):
         "reservoir_id", "date", "variable", "n_obs",
         *[fixed(c).alias(c) for c in ("value_mean", "value_median", "value_min", "value_max")],
     )
+
+
+@query(
+    s.with_views("samples")
+    + f"""select {sql_stamp('ts')} ts, event_type as variable, value, count(*) n
+    from (select date_trunc('second', ts) as ts, event_type, cast(cast(value as varchar) as double) as value from samples where value is not null)
+    where event_type in ('click', 'view') group by 1,2,3"""
+)
+def insitu_upload_csv(spark, sf):
+    """Field samples written as two CSV files whose columns come in different order, and read back as one folder."""
+    folder = scratch_path(spark, "uploads")
+    rows = s.samples(spark, sf).where(F.col("event_type").isin("click", "view") & F.col("value").isNotNull()).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"),
+        *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in ("click", "view")], (F.col("event_id") % 2).alias("half"),
+    )
+    for half, order in ((0, ("click", "view")), (1, ("view", "click"))):
+        files.write_csv(rows.where(F.col("half") == half).select("date", "time", *order), f"{folder}/{half}", "append")
+    back = files.read_insitu_uploads(spark, f"{folder}/*", ["click", "view"])
+    return back.groupBy(stamp("ts").alias("ts"), "variable", "value").agg(F.count(F.lit(1)).alias("n"))

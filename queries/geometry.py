@@ -52,13 +52,25 @@ def aoi_bounds_centroid(spark, sf):
     )
 
 
-@query()
+@query(
+    s.with_views("edge", pixel=s.VIEWS["pixel"], shifted="select * replace (x + 3 as x, y + 10 as y) from pixel", clipped=_INSIDE.replace("from pixel", "from shifted"))
+    + "select pixel_id, reservoir_id, cast(x as double) x, cast(y as double) y from clipped"
+)
+def pixels_in_aoi_offset(spark, sf):
+    """Pixels of a grid whose rows lie between the areas' own rows."""
+    shifted = s.pixel(spark, sf).withColumns({"x": F.col("x") + 3, "y": F.col("y") + 10})
+    return spatial.clip_to_aoi(shifted, s.aoi(spark, sf)).select("pixel_id", "reservoir_id", F.col("x").cast("double"), F.col("y").cast("double"))
+
+
+@query(s.with_views("poi") + "select reservoir_id as reservoir, point, cast(y as double) lat, cast(x as double) lon from poi")
 def poi_nested(spark, sf):
-    """Points of each reservoir as a map; no SQL check because of the map type."""
+    """Points of each reservoir as a map, taken apart again."""
     points = s.poi(spark, sf).select(
         F.col("reservoir_id").alias("reservoir"), "point", F.col("y").alias("lat"), F.col("x").alias("lon")
     )
-    return reshape.nest_points(points)
+    again = points.unionByName(points.withColumns({"lat": F.col("lat") - 1}))
+    nested = reshape.nest_points(again).select("reservoir", F.explode("points").alias("point", "place"))
+    return nested.select("reservoir", "point", F.col("place.lat").cast("double").alias("lat"), F.col("place.lon").cast("double").alias("lon"))
 
 
 @query(
