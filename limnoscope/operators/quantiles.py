@@ -2,8 +2,8 @@
 
 Spark's `percentile` keeps every distinct value of a group in one task. That is right for small groups,
 so groups are counted first and only those above a bound take another way: equal values are counted
-(partial aggregation, spread by key and value), a coarse histogram per group finds the slice that holds
-each wanted rank, and only that slice is ordered.
+(partial aggregation, spread by key and value), approximate quantiles cut the group into slices, the slices' sizes tell
+which one holds each wanted rank, and only that slice is ordered, so the result is exact.
 """
 
 from __future__ import annotations
@@ -18,17 +18,23 @@ from limnoscope.session import cut_lineage
 # Rows of a group whose values one task may hold.
 SMALL_GROUP_ROWS = 1_000_000
 
-# A slice spans 0.07 % of the value, so even a group of billions of values has few in one slice, and the
-# histogram of a group has some ten thousand rows at most in practice.
-_SLICES_PER_OCTAVE = 1024
-_OCTAVES = 1100
-_LARGEST = 1.7976931348623157e308
+# Slices of a large group: their ends are the group's own approximate quantiles, so a group of nearly equal values and
+# one with far outliers are cut alike. Ends are looked up in two steps of `_STEP`.
+_STEP = 32
+_SLICES = _STEP * _STEP
+# Bounds of so many groups (8 KB each) are sent to all tasks; those of more groups are joined.
+_SENT_GROUPS = 2_000
 
 
-def value_slice(value: Column) -> Column:
-    """Coarse slice number that never decreases when the value grows."""
-    size = F.floor(F.log2(F.least(F.abs(value), F.lit(_LARGEST))) * _SLICES_PER_OCTAVE) + _OCTAVES * _SLICES_PER_OCTAVE
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * size).cast("long")
+def with_slices(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds `_slice`, which never decreases when the value grows; each holds about one `_SLICES`th of the distinct values."""
+    shares = [k / _SLICES for k in range(_SLICES)]
+    bounds = cut_lineage(counts.groupBy(*keys).agg(F.percentile_approx("_value", shares, 20 * _SLICES).alias("_bounds")))
+    bounds = bounds.withColumn("_heads", F.transform(F.sequence(F.lit(0), F.lit(_STEP - 1)), lambda i: F.get(F.col("_bounds"), i * _STEP)))
+    joined = lookup_join(counts, bounds, list(keys), ["_value"], max_rows=_SENT_GROUPS)
+    head = F.greatest(F.size(F.filter("_heads", lambda x: x <= F.col("_value"))) - 1, F.lit(0))
+    inside = F.size(F.filter(F.slice("_bounds", head * _STEP + 1, F.lit(_STEP)), lambda x: x <= F.col("_value")))
+    return joined.withColumn("_slice", (head * _STEP + inside).cast("long")).drop("_bounds", "_heads")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -89,7 +95,7 @@ def _small_groups(rows: DataFrame, keys: list[str], weight: Column, probabilitie
 
 def _by_slices(counts: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
     keys = list(keys)
-    sliced = counts.withColumn("_slice", value_slice(F.col("_value")))
+    sliced = with_slices(cut_lineage(counts), keys)
     slices = sliced.groupBy(*keys, "_slice").agg(
         F.sum("_n").alias("_size"),
         F.sum(F.col("_value") * F.col("_n")).alias("_sum"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.functions.temporal import clock
-from limnoscope.operators import matching
+from limnoscope.operators import matching, quantiles
 from limnoscope.session import cut_lineage
 from queries import standins as s
 from queries.registry import fixed, query, sql_fixed, sql_stamp, stamp
@@ -114,3 +114,19 @@ def overpass_match(spark, sf):
 def date_intersection(spark, sf):
     """Dates that have both field samples and a valid scene."""
     return matching.shared_dates(prepared(spark, sf), satellite(spark, sf))
+
+
+_NARROW = "20e0 + l_orderkey / 2e7 + l_linenumber / 3e8"
+
+
+@query(
+    f"""with v as (select l_suppkey % 3 as g, {_NARROW} as value from lineitem)
+    select g, count(*) n_obs, """
+    + ", ".join(sql_fixed(f"quantile_cont(value, {p})", 9) + f" {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q99", 0.99)))
+    + " from v group by 1"
+)
+def quantiles_hot_groups(spark, sf):
+    """Quantiles of groups whose values lie close together, by the way of large groups."""
+    rows = s.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("g"), F.expr(_NARROW.replace("e0", "D").replace("2e7", "2e7D").replace("3e8", "3e8D")).alias("value"))
+    found = quantiles.grouped_distribution(rows, ["g"], "value", {"q1": 0.25, "median": 0.5, "q99": 0.99}, small_group_rows=100)
+    return found.select("g", "n_obs", *[fixed(n, 9).alias(n) for n in ("q1", "median", "q99")])
