@@ -41,7 +41,7 @@ ANY_TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]")
 class Settings:
     window: int = 48
     context: int = 14
-    #: Labelled windows to learn from, in hash order.
+    #: Labelled windows to learn from, at most; one per bucket of their hashes.
     max_windows: int = 1_500
     steps: int = 260
 
@@ -161,13 +161,17 @@ def _labelled(windows: list[str], size: int, seed: int = 11) -> tuple[np.ndarray
 
 
 def windows_of(docs: DataFrame, settings: Settings = Settings(), column: str = "text") -> list[str]:
-    """At most `max_windows` stretches around triggers, one per document, in hash order of the text."""
+    """At most `max_windows` stretches around triggers, one per document and per bucket of the stretches' hashes.
+
+    Buckets are folded before the shuffle, so a task sends `max_windows` stretches at most.
+    """
     text = F.col(column).cast("string")
     place = F.regexp_instr(text, F.lit("[0-9@]"))
     near = F.substring(text, F.greatest(F.lit(1), place - settings.window), F.lit(3 * settings.window))
     found = docs.where(text.rlike("[0-9@]")).select(near.alias("near"))
-    picked = found.orderBy(F.xxhash64("near"), "near").limit(settings.max_windows)
-    return [r.near for r in picked.collect()]
+    bucket = F.pmod(F.xxhash64("near"), F.lit(settings.max_windows)).alias("bucket")
+    picked = found.groupBy(bucket).agg(F.min_by("near", F.struct(F.xxhash64("near", F.lit(3)), "near")).alias("near"))
+    return [r.near for r in sorted(picked.collect(), key=lambda r: r.bucket)]
 
 
 def fit(docs: DataFrame, settings: Settings = Settings(), column: str = "text") -> dict[str, np.ndarray]:

@@ -81,11 +81,67 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
 
 
-@query()
+def _sql_distance(counts: list[str], total: str, reference: list[float]) -> str:
+    """Jensen-Shannon distance of counts to fixed shares, written out term by term."""
+    whole = sum(reference)
+    terms = []
+    for count, share in zip(counts, reference):
+        p, q = repr(share / whole), f"(({count})::double / ({total}))"
+        side = lambda x: f"case when {x} > 0 then {x} * log2({x} / (({p} + {q}) / 2)) else 0 end"  # noqa: E731, B023
+        terms.append(f"({side(p)} + {side(q)}) / 2")
+    return f"sqrt(greatest({' + '.join(terms)}, 0.0))"
+
+
+def _rules_sql(limits: quality_rules.Limits = quality_rules.Limits()) -> str:
+    """The quality rules in SQL: windows of words by unnesting, histograms by counting in lists."""
+    listed = sorted({w for ws in limits.common_words.values() for w in ws.split()})
+    column = {w: f"w{k}" for k, w in enumerate(listed)}
+    gone = lambda text, kind: f"length({text}) - length(regexp_replace({text}, '[{kind}]+', '', 'g'))"
+    kinds = {"upper_": r"\p{Lu}", "digits": "0-9", "blank": r"\x20\x09-\x0D", "marks": r".,;:!?''\"()\-"}
+    by_class = ["chars - length(rest)", *kinds, "length(rest) - upper_ - digits - blank - marks"]
+    class_ = [_sql_distance(by_class, "chars", list(x)) for x in limits.class_shares.values()]
+    word_ = []
+    for listing in limits.common_words.values():
+        ours = [column[w] for w in listing.split()]
+        word_.append(_sql_distance([*ours, f"greatest(n_words - ({' + '.join(ours)}), 0)"], "n_words", quality_rules.word_reference(listing)))
+    return f"""
+    with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    split as (
+        select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls,
+               list_filter(string_split_regex(lower(t), '[^\\p{{L}}]+'), lambda x: x in ({", ".join(f"'{w}'" for w in listed)})) as cs,
+               regexp_replace(t, '\\p{{Ll}}+', '', 'g') as rest
+        from texts
+    ),
+    starts as (select r, ws, unnest(range(1, len(ws) - 1)) as i from split where len(ws) >= 3),
+    grams as (select r, i, count(*) over (partition by r, ws[i], ws[i + 1], ws[i + 2]) as n from starts),
+    covered as (select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from grams where n > 1) group by r),
+    counted as (
+        select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, {gone("t", "#*$%&|<>")} as n_symbols,
+               len(ls) - list_unique(ls) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, length(t) as chars, rest,
+               {", ".join(f"{gone('rest', kind)} as {name}" for name, kind in kinds.items())},
+               {", ".join(f"len(list_filter(cs, lambda x: x = '{w}')) as {c}" for w, c in column.items())}
+        from split left join covered using (r)
+    ),
+    judged as (
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+               case when n_words >= {limits.min_words} then least({", ".join(class_)}) end as class_distance,
+               case when n_words >= {limits.min_words} then least({", ".join(word_)}) end as word_distance
+        from counted
+    )
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and not coalesce(class_distance > {limits.max_class_distance} or word_distance > {limits.max_word_distance}, false) as kept
+    from judged
+    """
+
+
+@query(_rules_sql())
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the divergence rules for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.verdicts(docs).drop("text")
+    return quality_rules.verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 @query(
