@@ -34,6 +34,19 @@ def calibration_input(
     return matching.calibration_rows(daily, satellite, predictors, min_rows)
 
 
+# Train rows that a group needs once its outliers are gone.
+MIN_TRAIN = 5
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is among the groups; a NULL key is a key like any other."""
+    names = {k: f"_g_{k}" for k in keys}
+    same = F.lit(True)
+    for k, other in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    return rows.join(groups.select(*keys).withColumnsRenamed(names), same, "left_semi")
+
+
 @dataclass
 class Calibration:
     rows: DataFrame  # rows with split and part
@@ -54,9 +67,13 @@ def calibrate(
     group: Sequence[str] = splits.GROUP,
     key: Sequence[str] = (*splits.GROUP, "date"),
     remove_outliers: bool = True,
+    min_train: int = MIN_TRAIN,
 ) -> Calibration:
     """Fit and score every model for every group at once.
 
+    Groups with fewer than `min_train` train rows after the outliers are left out, and so are, per group, the models
+    that need more matched rows than it has.
+
     The matched rows and the fits are small against the pixels and are read by several jobs, so they
     are checkpointed.
     """
@@ -64,8 +81,12 @@ def calibrate(
     usable = rows.where(F.col("gate") == "ok") if "gate" in rows.columns else rows
     parts = cut_lineage(splits.assign_parts(cut_lineage(usable), scheme, folds, group, key, remove_outliers))
     keep = list(dict.fromkeys([*group, *key, "y_true", "part"]))
+    enough = parts.groupBy(*group).agg(F.count_if(F.col("split") == "train").alias("_train")).where(F.col("_train") >= min_train)
+    parts = cut_lineage(_of_groups(parts, enough, group))
     designs = linear.with_designs(parts, predictors, [m.degree for m in chosen], keep)
-    fits = cut_lineage(linear.fit_models(linear.product_sums(designs, group), chosen, scheme, group))
+    offered = cfg.offered_models(parts, [m.name for m in chosen], group)
+    fits = linear.fit_models(linear.product_sums(designs, group), chosen, scheme, group)
+    fits = cut_lineage(_of_groups(fits, offered, [*group, "model_name"]))
     scores = linear.fold_scores(designs, fits, group)
     picked = cut_lineage(linear.pick_candidates(scores, group))
     predictions = linear.chosen_predictions(designs, fits, picked, group)
