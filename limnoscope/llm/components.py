@@ -17,12 +17,12 @@ def connected(edges: DataFrame) -> DataFrame:
     both = settled(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+        near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b")
         low = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        hooked = labels.join(low, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
+        hooked = labels.join(low.hint("merge"), "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
         jump = hooked.select(F.col("node").alias("low"), F.col("low").alias("far"))
         after = settled(
-            hooked.join(jump, "low", "left").select(
+            hooked.join(jump.hint("merge"), "low", "left").select(
                 "node", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("was")
             )
         )

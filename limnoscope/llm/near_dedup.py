@@ -29,6 +29,8 @@ from limnoscope.llm.rows import settled
 from limnoscope.llm.wordhash import U, mix
 
 FEWEST_BANDS = 2
+#: Growth of the links from which components are found anew between rounds.
+RELABEL = 1.05
 
 
 @dataclass(frozen=True)
@@ -142,22 +144,23 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     seen = settled(sketches(docs, sketch))
     named = seen.where("doc_id is not null and n_shingles > 0")
     classes = settled(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")))
-    keyed = named.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
+    keyed = named.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b").hint("merge"), ["doc_id", "set_a", "set_b"], "left_semi")
     keyed = keyed.select(F.col("doc_id").alias("node"), "keys").dropDuplicates(["node", "keys"])
     rows = keyed.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     # Only buckets with two nodes at least go on.
-    rows = settled(rows.join(shared, "key", "left_semi"))
+    rows = settled(rows.join(shared.hint("merge"), "key", "left_semi"))
     bands = settled(rows.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = settled(full_sets(texts.join(bands.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), sketch))
 
+    # Joins of the loop are sort-merge joins: a broadcast per join and round would pile up on the driver.
     links, labels = None, None
-    round_, idle = 0, 0
+    round_, idle, known, stale = 0, 0, 0, False
     while idle < 2:
         placed = rows.withColumn("component", F.col("node"))
         if labels is not None:
-            placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            placed = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         # Buckets that still hold several components, and the smallest node of each as its centre.
         mixed = (
             placed.groupBy("key")
@@ -165,14 +168,14 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .where("low <> high")
             .select("key", "centre")
         )
-        placed = settled(placed.join(mixed, "key"))
+        placed = settled(placed.join(mixed.hint("merge"), "key"))
         pairs = placed.where("node <> centre").select("node", "centre", "component").distinct()
         if labels is not None:
-            pairs = pairs.join(labels.toDF("centre", "its"), "centre", "left").where("component <> coalesce(its, centre)")
+            pairs = pairs.join(labels.toDF("centre", "its").hint("merge"), "centre", "left").where("component <> coalesce(its, centre)")
         common = F.size(F.array_intersect("keys", "centre_keys"))
         scored = (
-            pairs.join(bands, "node")
-            .join(bands.toDF("centre", "centre_keys"), "centre")
+            pairs.join(bands.hint("merge"), "node")
+            .join(bands.toDF("centre", "centre_keys").hint("merge"), "centre")
             .select("node", "centre", common.alias("common"))
             .where(F.col("common") >= FEWEST_BANDS)
         )
@@ -187,8 +190,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
         round_ += 1
         inter = F.size(F.array_intersect("grams", "centre_grams"))
         confirmed = settled(
-            pairs.join(sets, "node")
-            .join(sets.toDF("centre", "centre_grams"), "centre")
+            pairs.join(sets.hint("merge"), "node")
+            .join(sets.toDF("centre", "centre_grams").hint("merge"), "centre")
             .where(F.least(F.size("grams"), F.size("centre_grams")) * 100 >= sketch.percent * F.greatest(F.size("grams"), F.size("centre_grams")))
             .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
             .where(100 * F.col("inter") >= sketch.percent * (F.col("sizes") - F.col("inter")))
@@ -201,14 +204,20 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             continue
         idle = 0
         links = confirmed if links is None else settled(links.unionByName(confirmed))
+        # Older components only make some pairs be checked needlessly, so a few new links do not pay a new labelling.
+        now = links.count()
+        stale = now > known
+        if now >= known * RELABEL:
+            labels, known, stale = connected(links), now, False
+    if links is not None and stale:
         labels = connected(links)
 
     if labels is not None:
-        classes = classes.join(labels, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
+        classes = classes.join(labels.hint("merge"), "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
     else:
         classes = classes.withColumnRenamed("node", "component_id")
     # Rows of an empty set or without an id stand alone; the others take the component of their set.
     alone = seen.where("doc_id is null or n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    placed = seen.where("doc_id is not null and n_shingles > 0").join(classes, ["set_a", "set_b"])
+    placed = seen.where("doc_id is not null and n_shingles > 0").join(classes.hint("merge"), ["set_a", "set_b"])
     result = placed.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
