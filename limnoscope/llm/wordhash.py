@@ -78,6 +78,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 def word_hashes(data: np.ndarray, offsets: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each lower-cased word, and each text's first word index (one more at the end)."""
     size = len(data)
+    if size > 2 * SLICE_BYTES and len(offsets) == 2:
+        return _in_pieces(data, within)
     if size == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U), none, none, np.zeros(len(offsets), np.int64)
@@ -96,6 +98,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, within: np.ndarray) -> tu
     return mix(h + (end - start).astype(U)), start, end, np.searchsorted(start, offsets)
 
 
+def _in_pieces(data: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One very long text, piece by piece between words, so working memory stays that of a slice."""
+    found, at = [], 0
+    while at < len(data):
+        end = at + SLICE_BYTES
+        while end < len(data) and within[data[end]]:
+            # Up to the end of the word that lies across.
+            gap = np.flatnonzero(~within[data[end : end + 4096]])
+            end += int(gap[0]) if len(gap) else 4096
+        end = min(end, len(data))
+        h, start, stop, _ = word_hashes(data[at:end], np.array([0, end - at, end - at]), within)
+        found.append((h, start + at, stop + at))
+        at = end
+    h, start, stop = (np.concatenate(x) for x in zip(*found))
+    return h, start, stop, np.array([0, len(h)])
+
+
 def grams(h: np.ndarray, first: np.ndarray, size: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word index) of each run of `size` words within one text; with `skip`, of two words so far apart."""
     reach = size - 1 + skip
