@@ -5,7 +5,7 @@ A document's set holds the 64-bit hashes of its word shingles. One hash orders t
 sequence (optimal densification). `rows` bins make a band; a band's key is a bucket.
 
 Copies with the same set are one node from the start. In each bucket, a node is paired with the bucket's centre only, so
-pairs are bounded by bucket rows. First a node checks the centre that shares most bands with it; from then on all pairs
+pairs are bounded by bucket rows. First a node checks the centre that it meets in most buckets; from then on all pairs
 with centres in other components are checked, centres leave their buckets, and rounds go on while a bucket still holds
 several components, until none does or two rounds in a row find no new link. Links are confirmed on the full sets. Two
 sets of similarity 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8.
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = settled(full_sets(texts.join(bands.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), sketch))
 
+    # What a join leaves in many small split parts is dealt out evenly again before it is kept.
     # Joins of the loop are sort-merge joins: a broadcast per join and round would pile up on the driver.
     links, labels = None, None
     round_, idle, known, stale = 0, 0, 0, False
@@ -168,25 +169,25 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .where("low <> high")
             .select("key", "centre")
         )
-        placed = settled(placed.join(mixed.hint("merge"), "key"))
-        pairs = placed.where("node <> centre").select("node", "centre", "component").distinct()
-        if labels is not None:
-            pairs = pairs.join(labels.toDF("centre", "its").hint("merge"), "centre", "left").where("component <> coalesce(its, centre)")
-        common = F.size(F.array_intersect("keys", "centre_keys"))
-        scored = (
-            pairs.join(bands.hint("merge"), "node")
-            .join(bands.toDF("centre", "centre_keys").hint("merge"), "centre")
-            .select("node", "centre", common.alias("common"))
-            .where(F.col("common") >= FEWEST_BANDS)
-        )
+        placed = settled(placed.join(mixed.hint("merge"), "key").repartition("node"))
+        beside = placed.where("node <> centre")
         if round_ == 0:
-            # Most nodes of a group join it by their likeliest link, so few pairs are left to check.
-            pairs = settled(scored.groupBy("node").agg(F.max_by("centre", "common").alias("centre")))
+            # Most nodes of a group join it by their likeliest link, the centre of most of their buckets, so few pairs are left.
+            counted = beside.groupBy("node", "centre").agg(F.count("*").alias("shared"))
+            pairs = settled(counted.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("c")).select("node", "c.centre"))
             rows = placed.select("node", "key")
         else:
             # All pairs with the centre get checked, so the centre leaves its bucket.
-            pairs = settled(scored.select("node", "centre"))
-            rows = placed.where("node <> centre").select("node", "key")
+            met = beside.select("node", "centre", "component").distinct()
+            if labels is not None:
+                met = met.join(labels.toDF("centre", "its").hint("merge"), "centre", "left").where("component <> coalesce(its, centre)")
+            scored = (
+                met.join(bands.hint("merge"), "node")
+                .join(bands.toDF("centre", "centre_keys").hint("merge"), "centre")
+                .where(F.size(F.array_intersect("keys", "centre_keys")) >= FEWEST_BANDS)
+            )
+            pairs = settled(scored.select("node", "centre").repartition("node"))
+            rows = beside.select("node", "key")
         round_ += 1
         inter = F.size(F.array_intersect("grams", "centre_grams"))
         confirmed = settled(
@@ -196,6 +197,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
             .where(100 * F.col("inter") >= sketch.percent * (F.col("sizes") - F.col("inter")))
             .select(F.col("node").alias("a"), F.col("centre").alias("b"))
+            .repartition("a")
         )
         if confirmed.isEmpty():
             if rows.isEmpty():
