@@ -7,8 +7,9 @@ sequence (optimal densification). `rows` bins make a band; a band's key is a buc
 Copies with the same set are one node from the start. In each bucket, a node is paired with the bucket's centre only, so
 pairs are bounded by bucket rows. First a node checks the centre that it meets in most buckets; from then on all pairs
 with centres in other components are checked, centres leave their buckets, and rounds go on while a bucket still holds
-several components, until none does or two rounds in a row find no new link. Links are confirmed on the full sets. Two
-sets of similarity 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8.
+several components. What is left after ROUNDS rounds, or two in a row without a new link, is joined exactly: two sets
+that reach the similarity share one of the rarest shingles of both, so nodes meet by those. Links are confirmed on the
+full sets. Two sets of similarity 0.8 share no bucket with probability (1 - 0.8**4)**32, about 5e-8.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; repeated rows and rows that share an
 id are one node; a row without an id is linked with nothing and its component is null; extra columns are not returned;
@@ -31,6 +32,8 @@ from limnoscope.llm.wordhash import U, mix
 FEWEST_BANDS = 2
 #: Growth of the links from which components are found anew between rounds.
 RELABEL = 1.05
+#: Rounds before nodes still unsettled meet by rare shingles.
+ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -139,6 +142,56 @@ def full_sets(docs: DataFrame, sketch: Sketch) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams array<long>")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b): those of `pairs` (node, centre) whose full sets reach the similarity."""
+    inter = F.size(F.array_intersect("grams", "centre_grams"))
+    return settled(
+        pairs.join(sets.hint("merge"), "node")
+        .join(sets.toDF("centre", "centre_grams").hint("merge"), "centre")
+        .where(F.least(F.size("grams"), F.size("centre_grams")) * 100 >= percent * F.greatest(F.size("grams"), F.size("centre_grams")))
+        .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
+        .where(100 * F.col("inter") >= percent * (F.col("sizes") - F.col("inter")))
+        .select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        .repartition("a")
+    )
+
+
+def rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, centre) of `left` (node, component) in different components that can reach the similarity.
+
+    Sets of that similarity share at least percent of either, so they share one of the first n - ceil(percent of n) + 1
+    shingles of both in any common order; here the rarest come first. A shingle of one set only takes its place but meets
+    nothing. Each shingle's largest component meets the others only, so its own pairs are never made.
+    """
+    nodes = left.select("node", "component").distinct()
+    # Rows that share an id give a node several sets.
+    own = sets.join(nodes.hint("merge"), "node").withColumn("set", F.xxhash64("grams")).dropDuplicates(["node", "set"])
+    grams = settled(own.select("node", "set", "component", F.size("grams").alias("n"), F.explode("grams").alias("gram")))
+    often = settled(grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1"))
+    ordered = (
+        grams.join(often.hint("merge"), "gram")
+        .groupBy("node", "set", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
+    )
+    # Places that shingles of one set only have not taken.
+    places = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(grams))")
+    first = ordered.select("node", "component", "n", F.slice("grams", F.lit(1), F.greatest(places, F.lit(0)).cast("int")).alias("grams"))
+    met = settled(first.select("node", "component", "n", F.explode("grams.gram").alias("gram")))
+    largest = settled(
+        met.groupBy("gram", "component").agg(F.count("*").alias("nodes"))
+        .groupBy("gram").agg(F.max(F.struct("nodes", "component")).alias("c"), F.count("*").alias("components"))
+        .where("components > 1")
+        .select("gram", F.col("c.component").alias("largest"))
+    )
+    met = settled(met.join(largest.hint("merge"), "gram"))
+    other = met.select("gram", F.col("node").alias("centre"), F.col("component").alias("its"), F.col("n").alias("centre_n"), F.col("largest").alias("its_largest"))
+    pairs = met.where("component <> largest").join(other.hint("merge"), "gram")
+    # Two nodes outside the largest component meet twice; once is enough.
+    pairs = pairs.where("component <> its and (its = its_largest or node < centre)")
+    pairs = pairs.where(F.least("n", "centre_n") * 100 >= percent * F.greatest("n", "centre_n"))
+    return pairs.select(F.least("node", "centre").alias("centre"), F.greatest("node", "centre").alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of `docs` (doc_id, text)."""
     seen = settled(sketches(docs, sketch))
@@ -158,7 +211,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     # Joins of the loop are sort-merge joins: a broadcast per join and round would pile up on the driver.
     links, labels = None, None
     round_, idle, known, stale = 0, 0, 0, False
-    while idle < 2:
+    while True:
         placed = rows.withColumn("component", F.col("node"))
         if labels is not None:
             placed = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -170,6 +223,14 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             .select("key", "centre")
         )
         placed = settled(placed.join(mixed.hint("merge"), "key").repartition("node"))
+        if placed.isEmpty():
+            break
+        if idle == 2 or round_ == ROUNDS:
+            pairs = settled(rare_pairs(placed, sets, sketch.percent).repartition("node"))
+            confirmed = _confirmed(pairs, sets, sketch.percent)
+            if not confirmed.isEmpty():
+                links, stale = confirmed if links is None else links.unionByName(confirmed), True
+            break
         beside = placed.where("node <> centre")
         if round_ == 0:
             # Most nodes of a group join it by their likeliest link, the centre of most of their buckets, so few pairs are left.
@@ -189,19 +250,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
             pairs = settled(scored.select("node", "centre").repartition("node"))
             rows = beside.select("node", "key")
         round_ += 1
-        inter = F.size(F.array_intersect("grams", "centre_grams"))
-        confirmed = settled(
-            pairs.join(sets.hint("merge"), "node")
-            .join(sets.toDF("centre", "centre_grams").hint("merge"), "centre")
-            .where(F.least(F.size("grams"), F.size("centre_grams")) * 100 >= sketch.percent * F.greatest(F.size("grams"), F.size("centre_grams")))
-            .select("node", "centre", (F.size("grams") + F.size("centre_grams")).alias("sizes"), inter.alias("inter"))
-            .where(100 * F.col("inter") >= sketch.percent * (F.col("sizes") - F.col("inter")))
-            .select(F.col("node").alias("a"), F.col("centre").alias("b"))
-            .repartition("a")
-        )
+        confirmed = _confirmed(pairs, sets, sketch.percent)
         if confirmed.isEmpty():
-            if rows.isEmpty():
-                break
             idle += 1
             continue
         idle = 0

@@ -132,6 +132,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def template_pages(n, seed):
+    """Pages of one form: most are merely similar, a few reach 0.8, and their buckets begin with others."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        kinds = np.where(rng.random(30) < 0.83, 0, rng.integers(1, 3, 30))
+        rows.append((k, " ".join(f"f{j}k{v}w{i}" for j, v in enumerate(kinds) for i in range(6))))
+    return rows
+
+
+def test_near_duplicates_of_one_template(spark):
+    rows = template_pages(60, 5)
+    expected, _ = brute_components(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()} == expected
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
