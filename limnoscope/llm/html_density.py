@@ -6,7 +6,9 @@ subtree with the largest sum is taken, and the least density on the path from it
 decides which neighbours on that path belong to the text as well.
 
 What is never text is left out of the tree: scripts, styles, forms, menus, footers, sidebars, comments, hidden parts
-and elements whose class, id or role names an advert, notice, sidebar, menu or comment list.
+and elements whose class, id or role names an advert, notice, sidebar, menu or comment list. Such a name does not drop
+the element that wraps all articles of the page. A name that is only part of a compound (`has-sidebar`, `ad-free`) does not
+drop an element either that holds the densest text, or prose inside an article.
 
 Blocks are the runs of text between block elements. White space in a block becomes one space; blocks are joined by one
 line feed. Character references are decoded.
@@ -46,15 +48,16 @@ BOILERPLATE = frozenset(
     "breadcrumb breadcrumbs pagination pager toolbar footer footnav masthead topbar comment comments commentlist disqus replies respond discussion "
     "share sharing social related recommended recommendations search login skip toc complementary contentinfo".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SPACES = re.compile(r"[\s ​]+")
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "named")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: str = ""):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -76,13 +79,23 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], parent: Node
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id", "role") and value:
-            for word in value.lower().split():
-                if word in BOILERPLATE or not BOILERPLATE.isdisjoint(re.split(r"[-_]+", word)):
-                    return True
     return False
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """"whole" if a word of class, id or role is boilerplate, "part" if only a part of a compound word is."""
+    found = ""
+    if tag not in ("html", "body", "article", "main", "header"):
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value:
+                for word in value.lower().split():
+                    if word in BOILERPLATE:
+                        return "whole"
+                    if not BOILERPLATE.isdisjoint(re.split(r"[-_]+", word)):
+                        found = "part"
+    return found
+
+
 class Builder(HTMLParser):
     """Tree of a page; text of dropped subtrees is not kept."""
 
@@ -104,7 +117,7 @@ class Builder(HTMLParser):
             # The head ends where the body begins, closed or not.
             self._close("head", barrier=frozenset())
         parent = self.at
-        node = Node(tag, parent, parent.dropped or _is_boilerplate(tag, attrs, parent))
+        node = Node(tag, parent, parent.dropped or _is_boilerplate(tag, attrs, parent), _named(tag, attrs))
         parent.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -134,13 +147,22 @@ class Builder(HTMLParser):
             self.at.children.append(data)
 
 
-def _measure(root: Node) -> None:
-    """Characters, tags and links below every node, then densities and their sums; parents after children."""
+def _below(root: Node) -> list[Node]:
+    """The node and all that is not dropped below it, parents before children."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    return order
+
+
+def _measure(root: Node) -> None:
+    """Characters, tags and links below every node, then densities and their sums; parents after children."""
+    order = _below(root)
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
@@ -167,35 +189,106 @@ def _measure(root: Node) -> None:
         node.total += sum(len(BLANK.sub("", c)) for c in node.children if isinstance(c, str))
 
 
-def _chosen(root: Node) -> Node:
-    """The subtree with the largest density sum, raised to the enclosing article while the path's threshold allows."""
-    best, todo = root, [root]
-    articles = []
-    while todo:
-        node = todo.pop()
-        if node.total > best.total or best is root and node.total == best.total:
-            best = node
-        if node.tag in ("article", "main") and node.chars:
-            articles.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
-    path, up = [best], best
-    while up.parent is not None and up.tag != "body":
-        up = up.parent
-        path.append(up)
-    threshold = min((n.density for n in path if n.chars), default=0.0)
-    for node in path[1:]:
-        # An article is one whole: its sparse parts, such as headings, belong to it.
-        if node.tag in ("article", "main"):
+def _up(node: Node) -> list[Node]:
+    """The node and its ancestors up to the body."""
+    path = [node]
+    while node.parent is not None and node.tag != "body":
+        node = node.parent
+        path.append(node)
+    return path
+
+
+def _densest(order: list[Node]) -> Node:
+    best = order[0]
+    for node in order:
+        if node.total > best.total or best is order[0] and node.total == best.total:
             best = node
+    return best
+
+
+def _drop_named(root: Node) -> None:
+    """Drops elements by their class, id or role, except those that hold the page's text; densities are measured anew."""
+    _measure(root)
+    order = _below(root)
+    if not any(n.named for n in order):
+        return
+    # Articles outside of named elements are the page's own; only without them is one inside, and its wrapper stays.
+    articles = [n for n in order if n.tag in ("article", "main") and n.chars]
+    if articles and all(any(x.named for x in _up(n)) for n in articles):
+        wrapped = max(articles, key=lambda n: n.chars)
+        for x in _up(wrapped):
+            x.named = ""
+    for node in order:
+        if node.named == "whole":
+            node.dropped = True
+    _measure(root)
+    order = _below(root)
+    holds = {id(x) for x in _up(_densest(order))}
+    for node in order:
+        if node.named != "part" or id(node) in holds:
             continue
-        siblings = [c for c in node.children if isinstance(c, Node) and not c.dropped and c.chars]
-        if node.tag not in ("body", "html") and siblings and all(c.density >= threshold for c in siblings):
-            best = node
-    if articles and best.tag in ("body", "html"):
-        best = max(articles, key=lambda n: n.chars)
+        around = next((x for x in _up(node) if x.tag in ("article", "main")), None)
+        if around is None or node.density < around.density / 2 or 2 * node.link_chars > node.chars:
+            node.dropped = True
+    _measure(root)
+
+
+def _chosen(root: Node) -> Node:
+    """The subtree with the largest density sum, and the neighbours on its path that reach the path's threshold."""
+    order = _below(root)
+    best = _densest(order)
+    articles = [n for n in order if n.tag in ("article", "main") and n.chars]
     while best.tag not in BLOCKS and best.parent is not None:
         best = best.parent
-    return best
+    if articles and best.tag in ("body", "html"):
+        return max(articles, key=lambda n: n.chars)
+    path = _up(best)
+    threshold = min((n.density for n in path if n.chars), default=0.0)
+    # An article is one whole: its sparse parts, such as headings, belong to it. Neighbours of the outermost may join it.
+    whole = [k for k, n in enumerate(path) if n.tag in ("article", "main")]
+    start = whole[-1] if whole else 0
+    taken, below = path[start], path[start]
+    for node in path[start + 1 :]:
+        # A page with an article on the path has named its text itself, so what else the body holds stays out.
+        if whole and node.tag in ("body", "html"):
+            break
+        taken = _with_neighbours(node, below, taken, threshold)
+        below = node
+    return taken
+
+
+def _with_neighbours(node: Node, below: Node, taken: Node, threshold: float) -> Node:
+    """`taken`, the text of the child `below`, with the node's other children that reach the threshold, in page order.
+
+    Text and inline elements between two blocks are one child. Headings before the last child taken are taken too.
+    """
+    children: list[tuple[bool, bool, list[Node | str]]] = []
+    run: list[Node | str] = []
+
+    def close() -> None:
+        chars = sum(len(BLANK.sub("", c)) if isinstance(c, str) else c.chars for c in run)
+        if chars:
+            children.append((chars >= threshold, False, list(run)))
+        run.clear()
+
+    for c in node.children:
+        if isinstance(c, str) or c.tag not in BLOCKS and c is not below and not c.dropped:
+            run.append(c)
+        elif not c.dropped:
+            close()
+            if c is below:
+                children.append((True, False, [taken]))
+            elif c.chars:
+                children.append((c.density >= threshold, c.tag in HEADINGS, [c]))
+    close()
+    if len(children) == 1:
+        return taken
+    last = max(k for k, (dense, _, _) in enumerate(children) if dense)
+    out = Node("div", None)
+    for k, (dense, heading, items) in enumerate(children):
+        if dense or heading and k < last:
+            out.children += [*items, Node("hr", None)]
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -234,7 +327,7 @@ def main_text(html: str | None) -> str:
     builder.feed(html)
     builder.close()
     body = next((c for c in builder.root.children if isinstance(c, Node) and c.tag == "body"), builder.root)
-    _measure(body)
+    _drop_named(body)
     return "\n".join(blocks(_chosen(body)))
 
 

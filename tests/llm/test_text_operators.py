@@ -349,6 +349,27 @@ def test_main_text():
     assert html_density.main_text("") == html_density.main_text(None) == ""
 
 
+def section(char, n):
+    return f"<section>{f'<p>{char * n}</p>' * 3}</section>"
+
+
+def lengths(html):
+    return [len(x) for x in html_density.main_text(html).split("\n")]
+
+
+def test_wrappers_named_like_boilerplate_keep_their_text():
+    comments = f"<div class=comments><p>{'c' * 900}</p></div>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "ad-free", "related-work", "side-effects"):
+        assert lengths(f'<body><div class="{name}"><article><h1>Title</h1>{section("a", 100)}</article></div>{comments}</body>') == [5, 100, 100, 100]
+        assert lengths(f'<body><div class="{name}"><h1>Title</h1>{section("a", 100)}</div>{comments}</body>') == [5, 100, 100, 100]
+    inside = f"<section class=related-work>{section('b', 90)}</section><div class=related-posts><ul><li><a>one</a><li><a>two</a></ul></div>"
+    assert lengths(f"<body><article><h1>T</h1>{section('a', 100)}{inside}</article></body>") == [1, 100, 100, 100, 90, 90, 90]
+
+
+def test_dense_neighbours_and_their_headings_are_kept():
+    assert lengths(f"<body><div><h1>Ten letter</h1>{section('a', 400)}{section('b', 300)}</div></body>") == [10, 400, 400, 400, 300, 300, 300]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_density.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
