@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limnoscope.llm import decontaminate, near_dedup, pii, quality_rules, sentencepiece_codec
 from limnoscope.llm.queries import public_model, table
-from limnoscope.llm.rows import free_name
+from limnoscope.llm.rows import free_name, settled
 from limnoscope.session import scratch_path
 
 
@@ -22,15 +22,32 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows repeated under one id are one."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One document of each group of near copies, the one with the smallest id; only rows of one id and text are one.
+
+    Different texts that share an id are different documents.
+    """
+    mark = free_name(docs, "text_md5")
+    marked = docs.withColumn(mark, F.coalesce(F.md5(F.col("text")), F.lit("")))
+    named = marked.where("doc_id is not null")
+    counted = settled(named.groupBy("doc_id", mark).count())
+    shared = counted.groupBy("doc_id").count().where("count > 1")
+    if shared.isEmpty():
+        found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+        left = marked.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    else:
+        # Every text gets a number of its own, in the order of the ids.
+        texts = named.select("doc_id", mark, "text").dropDuplicates(["doc_id", mark])
+        numbered = settled(texts.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark).withColumn("number", F.monotonically_increasing_id()))
+        found = near_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"))
+        gone = numbered.select("number", "doc_id", mark).join(found.where("not kept").select(F.col("doc_id").alias("number")), "number", "left_semi")
+        left = marked.join(gone.select("doc_id", mark), ["doc_id", mark], "left_anti")
+    twice = counted.where("count > 1").select("doc_id", mark)
     if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return left.select(*docs.columns)
+    once = left.join(twice, ["doc_id", mark], "left_anti").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    rest = left.join(twice, ["doc_id", mark], "left_semi").groupBy("doc_id", mark).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(rest.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

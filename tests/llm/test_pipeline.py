@@ -45,3 +45,11 @@ def test_odd_rows_pass_all_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_texts_that_share_an_id_are_not_copies(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, c, "z"), (2, c, "y"), (3, b + " more", "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in kept) == [(0, a, "x"), (1, a, "x"), (2, b, "x"), (2, c, "y")]
