@@ -14,6 +14,10 @@ from limnoscope.llm.rows import free_name, settled
 from limnoscope.session import scratch_path
 
 
+#: Stages compare five words at 0.8; two words are the contract of op5_minhash_near_dedup alone.
+STAGE_SKETCH = near_dedup.Sketch(shingle_words=5)
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules keep."""
     # A prefix that no column has leaves columns named like the rules' own untouched.
@@ -32,13 +36,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     counted = settled(named.groupBy("doc_id", mark).count())
     shared = counted.groupBy("doc_id").count().where("count > 1")
     if shared.isEmpty():
-        found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+        found = near_dedup.near_duplicates(docs.select("doc_id", "text"), STAGE_SKETCH)
         left = marked.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
     else:
         # Every text gets a number of its own, in the order of the ids.
         texts = named.select("doc_id", mark, "text").dropDuplicates(["doc_id", mark])
         numbered = settled(texts.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark).withColumn("number", F.monotonically_increasing_id()))
-        found = near_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"))
+        found = near_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), STAGE_SKETCH)
         gone = numbered.select("number", "doc_id", mark).join(found.where("not kept").select(F.col("doc_id").alias("number")), "number", "left_semi")
         left = marked.join(gone.select("doc_id", mark), ["doc_id", mark], "left_anti")
     twice = counted.where("count > 1").select("doc_id", mark)

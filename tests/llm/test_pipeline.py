@@ -53,3 +53,10 @@ def test_texts_that_share_an_id_are_not_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text, r.source) for r in kept) == [(0, a, "x"), (1, a, "x"), (2, b, "x"), (2, c, "y")]
+
+
+def test_scattered_changes_are_no_near_copy_in_the_stage(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"v{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:-1]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()) == [1, 2]
