@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limnoscope.llm import (
     chat_collapse,
+    collocations,
     decontaminate,
     html_density,
+    license_notices,
     near_dedup,
     pii,
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     toxicity,
 )
 
@@ -175,3 +178,56 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def _phrases_sql(mining: collocations.Mining = collocations.Mining()) -> str:
+    """Collocations in SQL: all phrases of all pieces are listed and counted."""
+    return f"""
+    with texts as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+    lists as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as ws from pieces),
+    totals as (select lang, sum(len(ws))::bigint as n from lists group by lang),
+    places as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from lists),
+    sized as (select lang, ws, i, unnest(range(1, {mining.most_words + 1})) as k from places),
+    counted as (
+        select lang, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') as phrase, k as size, count(*) as f
+        from sized where i + k - 1 <= len(ws) group by all having count(*) >= {mining.fewest}
+    ),
+    longer as (
+        select lang, f, size, unnest([array_to_string(string_split(phrase, ' ')[:size - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) as phrase
+        from counted where size > 2
+    ),
+    candidates as (
+        select lang, phrase, f as a, string_split(phrase, ' ') as ws, size from counted
+        where size > 1 and (lang, phrase) not in (select (l.lang, l.phrase) from longer l join counted c on c.lang = l.lang and c.phrase = l.phrase where l.f >= c.f)
+    ),
+    cuts as (select *, unnest(range(1, size)) as k from candidates),
+    scored as (
+        select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n, (1000::hugeint * c.a * t.n // (x.f::hugeint * y.f))::bigint as score
+        from cuts c join totals t using (lang)
+        join counted x on x.lang = c.lang and x.phrase = array_to_string(c.ws[:c.k], ' ')
+        join counted y on y.lang = c.lang and y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+    ),
+    best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best)
+    select * from ranked where rank <= {mining.top}
+    """
+
+
+@query(_phrases_sql())
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query()
+def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document."""
+    found = license_notices.licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
