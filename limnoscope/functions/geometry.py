@@ -31,6 +31,67 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(right_of) % 2 == 1
 
 
+def covered_area(ring: Column, x: Column, y: Column, half: float) -> Column:
+    """Area that a ring shares with the axis-parallel square of half-width `half` around (x, y).
+
+    Every edge adds the signed area below it, cut off at the sides, the floor and the ceiling of the square; what does
+    not lie inside the ring cancels out. Rings may be concave and turn either way.
+    """
+    left, low, high = x - F.lit(half), y - F.lit(half), y + F.lit(half)
+    side = 2.0 * half
+
+    def primitive(t: Column) -> Column:
+        # Integral of the height above the floor, which stops growing at the ceiling.
+        up = F.least(F.greatest(t - low, F.lit(0.0)), F.lit(side))
+        return up * up / 2.0 + F.greatest(t - high, F.lit(0.0)) * side
+
+    def under(e: Column) -> Column:
+        cut = lambda v: F.least(F.greatest(v, left), left + side)
+        xa, xb = cut(e["x1"].cast("double")), cut(e["x2"].cast("double"))
+        slope = (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
+        ya, yb = e["y1"] + (xa - e["x1"]) * slope, e["y1"] + (xb - e["x1"]) * slope
+        middle = F.least(F.greatest((ya + yb) / 2.0 - low, F.lit(0.0)), F.lit(side))
+        height = F.when(F.abs(yb - ya) > 1e-9 * side, (primitive(yb) - primitive(ya)) / (yb - ya)).otherwise(middle)
+        return F.when(xa == xb, 0.0).otherwise((xb - xa) * height)
+
+    return F.abs(F.aggregate(ring_edges(ring), F.lit(0.0), lambda total, e: total + under(e)))
+
+
+def covered_share(ring: Column, x: Column, y: Column, size: float) -> Column:
+    """Share of the pixel of width `size` around (x, y) that lies inside the ring, 0 to 1."""
+    return F.least(covered_area(ring, x, y, size / 2.0) / F.lit(size * size), F.lit(1.0))
+
+
+def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+
+def segments_meet(a: Column, b: Column) -> Column:
+    """True if two edges cross or touch."""
+
+    def beside(e: Column, px: Column, py: Column) -> Column:
+        within = lambda v, s, t: v.between(F.least(s, t), F.greatest(s, t))
+        return within(px, e["x1"], e["x2"]) & within(py, e["y1"], e["y2"])
+
+    side = lambda e, px, py: _turn(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
+    a1, a2 = side(b, a["x1"], a["y1"]), side(b, a["x2"], a["y2"])
+    b1, b2 = side(a, b["x1"], b["y1"]), side(a, b["x2"], b["y2"])
+    return (
+        ((a1 * a2 < 0) & (b1 * b2 < 0))
+        | ((a1 == 0) & beside(b, a["x1"], a["y1"]))
+        | ((a2 == 0) & beside(b, a["x2"], a["y2"]))
+        | ((b1 == 0) & beside(a, b["x1"], b["y1"]))
+        | ((b2 == 0) & beside(a, b["x2"], b["y2"]))
+    )
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """True if two polygons share a point: an edge meets an edge, or one holds the other."""
+    crossing = F.exists(ring_edges(a), lambda e: F.exists(ring_edges(b), lambda f: segments_meet(e, f)))
+    first = lambda r: F.element_at(r, 1)
+    return crossing | contains(a, first(b)["x"], first(b)["y"]) | contains(b, first(a)["x"], first(a)["y"])
+
+
 def inside_box(x: Column, y: Column, prefix: str = "") -> Column:
     return x.between(F.col(f"{prefix}minx"), F.col(f"{prefix}maxx")) & y.between(
         F.col(f"{prefix}miny"), F.col(f"{prefix}maxy")

@@ -39,14 +39,14 @@ def with_water_values(
     return pixels.withColumns({c: masks.masked(spectral.index_column(n), water) for n, c in columns.items()}), columns
 
 
-def aoi_means(names: Sequence[str]) -> list[Column]:
+def aoi_means(names: Sequence[str], weight: str | None = None) -> list[Column]:
     """Means over the whole area, without water mask."""
-    return [F.avg(spectral.index_column(n)).alias(n) for n in names]
+    return [screening.weighted_mean(spectral.index_column(n), weight).alias(n) for n in names]
 
 
-def class_areas(value: str, edges: Sequence[float], out: str) -> list[Column]:
+def class_areas(value: str, edges: Sequence[float], out: str, weight: str | None = None) -> list[Column]:
     """Array of areas per class `[low, up)` of a value column, and the area of all its valid pixels."""
-    area = F.col("area_m2")
+    area = F.col("area_m2") if weight is None else F.col("area_m2") * F.col(weight)
     per_class = [
         F.coalesce(F.sum(F.when((F.col(value) >= float(lo)) & (F.col(value) < float(up)), area)), F.lit(0.0))
         for lo, up in zip(edges, edges[1:])
@@ -60,13 +60,17 @@ def scene_summary(
     names: Sequence[str],
     bins: Mapping[str, Sequence[float]] | None = None,
     dark_year: int = masks.DARK_WATER_YEAR,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Screening figures, water means and class areas of every scene from a single scan."""
+    """Screening figures, water means and class areas of every scene from a single scan.
+
+    With `weight` (see `spatial.weigh_by_aoi`), pixels on the shore count by the share that lies in the area.
+    """
     valued, columns = with_water_values(pixels, [*names, *(bins or {})], dark_year)
-    extra = [F.avg(columns[n]).alias(n) for n in names]
+    extra = [screening.weighted_mean(F.col(columns[n]), weight).alias(n) for n in names]
     for i, (name, edges) in enumerate((bins or {}).items()):
-        extra += class_areas(columns[name], edges, f"_areas_{i}")
-    return screening.scene_statistics(valued, extra=extra)
+        extra += class_areas(columns[name], edges, f"_areas_{i}", weight)
+    return screening.scene_statistics(valued, extra=extra, weight=weight)
 
 
 def reservoir_daily_means(
@@ -75,9 +79,10 @@ def reservoir_daily_means(
     max_cloud: float = 60,
     min_coverage: float = 50,
     dark_year: int = masks.DARK_WATER_YEAR,
+    weight: str | None = None,
 ) -> DataFrame:
     """Mean of each index over water for the best scene of each reservoir and date."""
-    summary = scene_summary(pixels, names, dark_year=dark_year)
+    summary = scene_summary(pixels, names, dark_year=dark_year, weight=weight)
     best = screening.best_scene_per_date(summary, max_cloud, min_coverage, carry=names)
     return best.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
 
@@ -120,8 +125,9 @@ def area_by_class(
     edges: Sequence[float],
     keys: Sequence[str] = SCENE_KEYS,
     dark_year: int = masks.DARK_WATER_YEAR,
+    weight: str | None = None,
 ) -> DataFrame:
     """Area and share of each class per scene; empty classes stay, values outside all classes count in the total."""
     valued, columns = with_water_values(pixels, [name], dark_year)
-    summed = valued.groupBy(*keys).agg(*class_areas(columns[name], edges, "_areas"))
+    summed = valued.groupBy(*keys).agg(*class_areas(columns[name], edges, "_areas", weight))
     return summed.select(*keys, class_rows("_areas", edges))

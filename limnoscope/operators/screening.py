@@ -19,20 +19,32 @@ from limnoscope.schemas import SCENE_KEYS
 CLASS_WEIGHT, PROBABILITY_WEIGHT = 0.95, 0.05
 
 
-def screening_aggregates() -> list[Column]:
+def weighted_mean(value: Column, weight: str | None = None) -> Column:
+    """Mean of the valid values; with `weight`, a pixel counts by the share of it that the column names."""
+    if weight is None:
+        return F.avg(value)
+    share = F.when(value.isNotNull(), F.col(weight))
+    return F.try_divide(F.sum(value * share), F.sum(share))
+
+
+def screening_aggregates(weight: str | None = None) -> list[Column]:
     """Aggregates every scene row starts with; `finish_screening` turns them into percents."""
     scl, probability = F.col("scl"), F.col("cldprb")
     valid = masks.in_screening(scl)
     flag = lambda c: F.when(valid, c.cast("double"))
+    area = F.col("area_m2") if weight is None else F.col("area_m2") * F.col(weight)
+    covered = F.col("b4").isNotNull()
+    counted = [F.count("b4"), F.count(F.lit(1))] if weight is None else [F.coalesce(F.sum(F.when(covered, F.col(weight))), F.lit(0.0)), F.sum(weight)]
     return [
         F.min("scene_ts").alias("scene_ts"),
         F.min("cloud_meta").alias("cloud_meta"),
         F.count(F.lit(1)).alias("n_pixels"),
-        F.avg(flag(masks.is_cloud(scl))).alias("_by_class"),
-        F.avg(flag(masks.is_probable_cloud(probability))).alias("_by_probability"),
-        F.count("b4").alias("_covered"),
-        F.sum("area_m2").alias("_area"),
-        F.sum(F.when(F.col("b4").isNotNull(), F.col("area_m2"))).alias("_covered_area"),
+        weighted_mean(flag(masks.is_cloud(scl)), weight).alias("_by_class"),
+        weighted_mean(flag(masks.is_probable_cloud(probability)), weight).alias("_by_probability"),
+        counted[0].alias("_covered"),
+        counted[1].alias("_whole"),
+        F.sum(area).alias("_area"),
+        F.sum(F.when(covered, area)).alias("_covered_area"),
     ]
 
 
@@ -46,17 +58,20 @@ def finish_screening(scenes: DataFrame) -> DataFrame:
                 100.0 * by_class,
                 100.0 * by_probability,
             ),
-            "coverage_count_pct": percent(F.col("_covered"), F.col("n_pixels")),
+            "coverage_count_pct": percent(F.col("_covered"), F.col("_whole")),
             "coverage_area_pct": percent(F.col("_covered_area"), F.col("_area")),
         }
-    ).drop("_by_class", "_by_probability", "_covered", "_area", "_covered_area")
+    ).drop("_by_class", "_by_probability", "_covered", "_whole", "_area", "_covered_area")
 
 
 def scene_statistics(
-    pixels: DataFrame, keys: Sequence[str] = SCENE_KEYS, extra: Sequence[Column] = ()
+    pixels: DataFrame, keys: Sequence[str] = SCENE_KEYS, extra: Sequence[Column] = (), weight: str | None = None
 ) -> DataFrame:
-    """One row per scene: time, pixel count, cloud and coverage percents, and any `extra` aggregates."""
-    return finish_screening(pixels.groupBy(*keys).agg(*screening_aggregates(), *extra))
+    """One row per scene: time, pixel count, cloud and coverage percents, and any `extra` aggregates.
+
+    With `weight`, shares are those of the area that the column gives, as `spatial.weigh_by_aoi` finds it.
+    """
+    return finish_screening(pixels.groupBy(*keys).agg(*screening_aggregates(weight), *extra))
 
 
 def passes(max_cloud: float, min_coverage: float, coverage: str = "coverage_count_pct") -> Column:
@@ -104,9 +119,14 @@ def scene_search(
     max_cloud_meta: float | None = None,
     boxes: DataFrame | None = None,
     inclusive_end: bool = False,
+    footprint: str | None = None,
 ) -> DataFrame:
-    """Scenes in a date range, under a metadata cloud limit, overlapping their reservoir's box."""
-    from limnoscope.functions.geometry import boxes_overlap
+    """Scenes in a date range, under a metadata cloud limit, overlapping their reservoir's box.
+
+    With `footprint`, the scenes' ring column, the two polygons themselves must share a point; `boxes` then also carries
+    `ring`. The box test comes first, so few pairs get that far. A scene that meets several areas stays one row.
+    """
+    from limnoscope.functions.geometry import boxes_overlap, rings_meet
     from limnoscope.functions.temporal import day_range
     from limnoscope.operators.sizing import lookup_join
 
@@ -114,10 +134,12 @@ def scene_search(
     if max_cloud_meta is not None:
         found = found.where(F.col("cloud_meta") <= max_cloud_meta)
     if boxes is not None:
-        box = boxes.select("reservoir_id", *[F.col(c).alias(f"aoi_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-        found = lookup_join(
-            found, box, ["reservoir_id"], ["scene_date", "tile"], boxes_overlap("", "aoi_")
-        ).drop("aoi_minx", "aoi_miny", "aoi_maxx", "aoi_maxy")
+        box = boxes.select("reservoir_id", *[F.col(c).alias(f"aoi_{c}") for c in ("minx", "miny", "maxx", "maxy", *(["ring"] if footprint else []))])
+        meets = boxes_overlap("", "aoi_")
+        if footprint is not None:
+            meets = meets & rings_meet(F.col(footprint), F.col("aoi_ring"))
+            return lookup_join(found, box, ["reservoir_id"], ["scene_date", "tile"], meets, "left_semi")
+        found = lookup_join(found, box, ["reservoir_id"], ["scene_date", "tile"], meets).drop("aoi_minx", "aoi_miny", "aoi_maxx", "aoi_maxy")
     return found
 
 

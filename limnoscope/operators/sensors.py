@@ -42,19 +42,25 @@ def to_sensor_rows(
     return df.select(*columns, *keep).na.drop(subset=["date_time", "phycocyanin"])
 
 
+#: Digits that the hash of a row adds to its ingest number.
+_HASH_DIGITS = 9
+
+
 def drop_repeated(
     df: DataFrame, identity: Sequence[str] = SENSOR_IDENTITY, ingest_order: str = "ingest_id"
 ) -> DataFrame:
     """Keep the first ingested of equal rows; NULL measures count as equal.
 
-    A hash aggregation: copies are folded before the shuffle, so a row copied a million times sends
-    one row per input task.
+    Rows are ordered by the ingest number (a whole number of up to 29 digits) followed by a hash of the row, so rows that
+    share a number never mix. The order and the columns of fixed width fit a hash aggregation: copies are folded before
+    the shuffle, and a row copied a million times sends one row per input task. Further text columns make it a sort.
     """
     rest = [c for c in df.columns if c not in identity and c != ingest_order]
-    # One value for the whole row, so rows with one ingest number never mix.
-    row = F.struct(ingest_order, *rest)
-    kept = df.groupBy(*identity).agg(F.min_by(row, F.col(ingest_order)).alias("_row"))
-    return kept.select(*identity, "_row.*").select(*df.columns)
+    number = F.col(ingest_order).cast("decimal(29,0)")
+    by_hash = F.pmod(F.xxhash64(*rest, F.lit(0)), F.lit(10**_HASH_DIGITS)).cast("decimal(9,0)")
+    ordered = df.withColumn("_order", (number * F.lit(10**_HASH_DIGITS).cast("decimal(10,0)") + by_hash).cast("decimal(38,0)"))
+    first = [F.min_by(c, "_order").alias(c) for c in [ingest_order, *rest]]
+    return ordered.groupBy(*identity).agg(*first).select(*df.columns)
 
 
 def merge_sensors(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from limnoscope.operators.sizing import BROADCAST_ROWS, lookup_join
 
 PIXEL_SIZE = 20.0
 POINT_RADIUS = 30.0
+# Smaller shares of a pixel are rounding.
+LEAST_SHARE = 1e-9
 
 
 def with_bounds(aoi: DataFrame) -> DataFrame:
@@ -57,6 +59,67 @@ def clip_to_aoi(
     return near.select(*pixels.columns).unionByName(far)
 
 
+def aoi_cover(aoi: DataFrame, size: float = PIXEL_SIZE, origin: float = 0.0) -> DataFrame:
+    """(reservoir_id, grid_row, runs): the runs of pixels that an area covers, with the share of each pixel inside.
+
+    A ring's edges touch few pixels of a row; those are runs of one pixel with their exact share. The pixels between two
+    of them lie wholly inside or outside, so one of them decides for all. One row per reservoir and grid row, whatever
+    the number of rings and vertices.
+    """
+    unit, start = F.lit(float(size)), F.lit(float(origin))
+    bounds = geometry.ring_bounds(F.col("ring"))
+    number = lambda v: F.floor((v - start) / unit + 0.5)  # the pixel that holds a coordinate
+    centre = lambda k: k * unit + start
+    rows = aoi.select("reservoir_id", "ring", F.explode(F.sequence(number(bounds["miny"]), number(bounds["maxy"]))).alias("grid_row"))
+    rows = rows.withColumn("row_y", centre(F.col("grid_row")))
+    low, high = F.col("row_y") - size / 2.0, F.col("row_y") + size / 2.0
+
+    def columns(e: Column) -> Column:
+        at = lambda y, x: F.when(e["y1"] == e["y2"], x).otherwise(
+            e["x1"] + (F.least(F.greatest(y, low), high) - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+        )
+        a, b = number(at(e["y1"], e["x1"])), number(at(e["y2"], e["x2"]))
+        return F.sequence(F.least(a, b), F.greatest(a, b))
+
+    in_row = lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
+    touched = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(geometry.ring_edges(F.col("ring")), in_row), columns))))
+    cut = rows.withColumn("touched", touched)
+    run = lambda a, b, share: F.struct(a.alias("first"), b.alias("last"), share.alias("share"))
+    edge_runs = F.transform("touched", lambda c: run(c, c, geometry.covered_share(F.col("ring"), centre(c), F.col("row_y"), size)))
+    gaps = F.transform(
+        F.sequence(F.lit(1), F.size("touched") - 1),
+        lambda i: run(F.element_at("touched", i) + 1, F.element_at("touched", i + 1) - 1, F.lit(1.0)),
+    )
+    inner = F.filter(gaps, lambda g: (g["first"] <= g["last"]) & geometry.contains(F.col("ring"), centre(g["first"]), F.col("row_y")))
+    runs = F.when(F.size("touched") > 1, F.concat(edge_runs, inner)).otherwise(edge_runs)
+    kept = cut.select("reservoir_id", "grid_row", F.filter(runs, lambda r: r["share"] > LEAST_SHARE).alias("runs")).where(F.size("runs") > 0)
+    return kept.groupBy("reservoir_id", "grid_row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def weigh_by_aoi(
+    pixels: DataFrame, aoi: DataFrame, size: float = PIXEL_SIZE, origin: float = 0.0, max_rows: int = BROADCAST_ROWS, out: str = "weight"
+) -> DataFrame:
+    """Pixels that an area of their reservoir covers at least in part, each once, with the covered share.
+
+    Pixels of the grid meet the runs of their row; a pixel beside the grid is measured against the rings themselves.
+    Shares of several rings of one reservoir add up to 1 at most.
+    """
+    cell = lambda c: (F.col(c) - F.lit(float(origin))) / F.lit(float(size))
+    rows = pixels.withColumns({"grid_row": F.round(cell("y")).cast("long"), "_column": F.round(cell("x")).cast("long")})
+    on_grid = (F.abs(cell("y") - F.col("grid_row")) < 1e-9) & (F.abs(cell("x") - F.col("_column")) < 1e-9)
+    here = lambda r: (r["first"] <= F.col("_column")) & (F.col("_column") <= r["last"])
+    near = lookup_join(rows.where(on_grid), aoi_cover(aoi, size, origin), ["reservoir_id", "grid_row"], ["pixel_id"], max_rows=max_rows)
+    added = F.aggregate(F.filter("runs", here), F.lit(0.0), lambda total, r: total + r["share"])
+    near = near.withColumn(out, F.least(added, F.lit(1.0)))
+    # One row per reservoir, so a pixel stays one row however many rings there are.
+    rings = aoi.groupBy("reservoir_id").agg(F.collect_list("ring").alias("_rings"))
+    far = lookup_join(rows.where(~on_grid), rings, ["reservoir_id"], ["pixel_id"], max_rows=max_rows)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    measured = F.aggregate("_rings", F.lit(0.0), lambda total, r: total + geometry.covered_share(r, x, y, size))
+    far = far.withColumn(out, F.least(measured, F.lit(1.0)))
+    return near.select(*pixels.columns, out).unionByName(far.select(*pixels.columns, out)).where(F.col(out) > LEAST_SHARE)
+
+
 def clip_points(points: DataFrame, aoi: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Points off any grid: box test, then the even-odd test against the ring."""
     box = with_bounds(aoi)

@@ -21,13 +21,16 @@ def product_records(
     min_coverage: float = 50,
     dark_year: int = masks.DARK_WATER_YEAR,
     sensors: Sequence[DataFrame] = (),
+    weighted: bool = False,
 ) -> DataFrame:
     """Long records of reservoir means, class areas, points and sensors for the best scenes.
 
-    The pixel table is read twice at most: once for all per-scene figures, once for the points.
+    The pixel table is read twice at most: once for all per-scene figures, once for the points. With `weighted`, pixels
+    on the edge of the area count by the share of them that lies inside, else by their centre.
     """
-    area = spatial.clip_to_aoi(pixels, aoi) if aoi is not None else pixels
-    summary = reduction.scene_summary(area, names, bins, dark_year)
+    weight = "weight" if weighted and aoi is not None else None
+    area = pixels if aoi is None else spatial.weigh_by_aoi(pixels, aoi, out=weight) if weight else spatial.clip_to_aoi(pixels, aoi)
+    summary = reduction.scene_summary(area, names, bins, dark_year, weight)
     carry = [*names, *[f"_areas_{i}{s}" for i in range(len(bins or {})) for s in ("", "_total")]]
     best = screening.best_scene_per_date(summary, max_cloud, min_coverage, carry)
     parts = []

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limnoscope.functions import temporal
 from limnoscope.functions.numeric import lenient_double
-from limnoscope.operators.reshape import union_all
-from limnoscope.operators.tables import numeric_candidates, unpivot_targets
 from limnoscope.schemas import MODEL_CONFIG, POI_CSV, VALID_DATE_CSV
+from limnoscope.sources import any_headers
 
 POINT_COLUMNS = {"nombre", "latitud", "longitud"}
 TIME_COLUMN = "Fecha-hora"
@@ -68,42 +66,30 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sensor_exports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Concatenate sensor files with differing headers; missing and empty files are skipped."""
-    frames = []
-    for path in paths:
-        try:
-            raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-        except AnalysisException:
-            continue
-        if not raw.columns or raw.isEmpty():
-            continue
-        if "Time" in raw.columns:
-            raw = raw.withColumnRenamed("Time", TIME_COLUMN)
-        frames.append(raw)
-    if not frames:
+    """Concatenate sensor files with differing headers in one scan; missing and empty files are skipped."""
+    found = any_headers.existing(spark, paths)
+    lines = any_headers.read_lines(spark, found) if found else None
+    names = any_headers.column_names(lines) if lines is not None else []
+    if not names:
         raise FileNotFoundError(f"no readable sensor file among {list(paths)}")
-    merged = union_all(frames)
-    return merged.withColumn(TIME_COLUMN, temporal.lenient_timestamp(F.col(f"`{TIME_COLUMN}`")))
+    rest = [n for n in names if n not in ("Time", TIME_COLUMN)]
+    time = F.coalesce(any_headers.field(TIME_COLUMN), any_headers.field("Time"))
+    return lines.select(temporal.lenient_timestamp(time).alias(TIME_COLUMN), *[any_headers.field(n).alias(n) for n in rest])
 
 
 def read_insitu_uploads(spark: SparkSession, path: str, targets: Sequence[str] | None = None) -> DataFrame:
-    """(ts, variable, value) from files with `date`, `time` and any numeric columns."""
-    # A folder may hold files with columns in any order: each distinct header is read by itself.
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    headers = lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).groupBy("header").agg(F.collect_list("file").alias("files"))
-    frames = []
-    for found in headers.orderBy("header").collect():
-        raw = spark.read.option("header", True).csv(found.files)
-        missing = {"date", "time"} - set(raw.columns)
-        if missing:
-            raise ValueError(f"missing columns {sorted(missing)}")
-        wanted = [t for t in targets if t in raw.columns] if targets is not None else [r.column_name for r in numeric_candidates(raw).collect()]
-        if wanted:
-            frames.append(unpivot_targets(raw, wanted))
-    if not frames:
-        raise ValueError(f"no measured columns in {path}")
-    rows = union_all(frames)
-    return rows.select(
-        temporal.combined_timestamp(F.col("date"), F.col("time")).alias("ts"), "variable",
-        lenient_double(F.col("value")).alias("value"),
-    ).na.drop(subset=["ts", "value"])
+    """(ts, variable, value) from files with `date`, `time` and any numeric columns, in any order, in one scan.
+
+    Without `targets`, every column counts that holds a number somewhere; fields that are no numbers are left out.
+    """
+    lines = any_headers.read_lines(spark, path)
+    lacking = lines.where(~F.array_contains("names", "date") | ~F.array_contains("names", "time")).select("names").limit(1).collect()
+    if lacking:
+        raise ValueError(f"missing columns {sorted({'date', 'time'} - set(lacking[0].names))}")
+    rows = any_headers.as_rows(lines, ["date", "time"])
+    if targets is not None:
+        rows = rows.where(F.col("variable").isin(*targets))
+    read = rows.select(
+        temporal.combined_timestamp(F.col("date"), F.col("time")).alias("ts"), "variable", lenient_double(F.col("value")).alias("value")
+    )
+    return read.na.drop(subset=["ts", "value"])

@@ -155,17 +155,17 @@ def penalised_fit_single(spark, sf):
 
 
 _SINGLE_FIT = s.with_views(
-    "folded",
-    train_fit=f"select reservoir_id, variable, {_LINE} from folded group by 1,2",
-    pred="""select c.reservoir_id, c.variable, c.d, c.split, c.y_true, f.a + f.b*c.ndci y_pred from cleaned c
+    "folded_modelled", "modelled",
+    train_fit=f"select reservoir_id, variable, {_LINE} from folded_modelled group by 1,2",
+    pred="""select c.reservoir_id, c.variable, c.d, c.split, c.y_true, f.a + f.b*c.ndci y_pred from modelled c
       join train_fit f using (reservoir_id, variable) where c.split <> 'outlier'""",
     fold_fit=f"""select t.reservoir_id, t.variable, f.fold, {_T_LINE}
-      from folded t join (select distinct reservoir_id, variable, fold from folded) f
+      from folded_modelled t join (select distinct reservoir_id, variable, fold from folded_modelled) f
       on f.reservoir_id = t.reservoir_id and f.variable = t.variable and t.fold <> f.fold group by 1,2,3""",
     fold_score="""select f.reservoir_id, f.variable, f.fold,
       case when count(*) >= 2 and var_pop(y_true) > 0 then 1e0 - sum((y_true - (a + b*ndci))**2)/(var_pop(y_true)*count(*)) end r2,
       sqrt(avg((y_true - (a + b*ndci))**2)) rmse, avg(abs(y_true - (a + b*ndci))) mae
-      from folded f join fold_fit using (reservoir_id, variable, fold) group by 1,2,3""",
+      from folded_modelled f join fold_fit using (reservoir_id, variable, fold) group by 1,2,3""",
     cv="""select reservoir_id, variable, avg(r2) r2m, stddev_pop(r2) r2s, avg(rmse) rmsem, stddev_pop(rmse) rmses,
       avg(mae) maem, stddev_pop(mae) maes from fold_score group by 1,2""",
     sets="""select reservoir_id, variable, split,
@@ -209,12 +209,12 @@ def model_metrics_linear(spark, sf):
 
 
 _TIME_FIT = s.with_views(
-    "folded",
+    "folded_modelled",
     block_fit=f"""select t.reservoir_id, t.variable, f.block, {_T_LINE}
-      from folded t join (select distinct reservoir_id, variable, block from folded where block > 0) f
+      from folded_modelled t join (select distinct reservoir_id, variable, block from folded_modelled where block > 0) f
       on f.reservoir_id = t.reservoir_id and f.variable = t.variable and t.block < f.block group by 1,2,3""",
     block_score="""select reservoir_id, variable, block, count(*) n, sqrt(avg((y_true - (a + b*ndci))**2)) rmse,
-      avg(abs(y_true - (a + b*ndci))) mae from folded join block_fit using (reservoir_id, variable, block) group by 1,2,3""",
+      avg(abs(y_true - (a + b*ndci))) mae from folded_modelled join block_fit using (reservoir_id, variable, block) group by 1,2,3""",
 )
 
 
@@ -366,3 +366,20 @@ def calibration_end_to_end(spark, sf):
     return configured.groupBy("reservoir_id", "scene_date", "tile").agg(
         fixed(F.avg("calibrated")).alias("calibrated_mean")
     )
+
+
+@query(
+    s.with_views("feature", g="select reservoir_id, scene_date, tile, case when day(scene_date) <> 11 then ndci end ndci, case when tile = 0 then r740 end r740 from feature")
+    + f"""select reservoir_id, scene_date, tile, {sql_fixed('coalesce(ndci, median(ndci) over (partition by reservoir_id), 0e0)')} ndci,
+      {sql_fixed('coalesce(r740, median(r740) over (partition by reservoir_id), 0e0)')} r740 from g"""
+)
+def median_imputation(spark, sf):
+    """Missing scene predictors filled with the exact median of their reservoir."""
+    from limnoscope.operators import matching
+
+    scenes = matching.scene_features(s.pixel(spark, sf)).select(
+        "reservoir_id", "tile", F.col("scene_date").alias("date"),
+        F.when(F.dayofmonth("scene_date") != 11, F.col("NDCI_705_665")).alias("ndci"), F.when(F.col("tile") == 0, F.col("R740_R665")).alias("r740"),
+    )
+    filled = cfg.impute_medians(cut_lineage(scenes), ["ndci", "r740"], ["reservoir_id"])
+    return filled.select("reservoir_id", F.col("date").alias("scene_date"), "tile", fixed("ndci").alias("ndci"), fixed("r740").alias("r740"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.functions import text
+from limnoscope.functions.numeric import lenient_double
 from limnoscope.operators import reshape, sensors, tables
 from limnoscope.plans.ingest import pages_to_sensor_rows
 from limnoscope.schemas import SENSOR_IDENTITY
@@ -259,16 +260,42 @@ def stream_daily_stats(spark, sf):
     s.with_views("samples")
     + f"""select {sql_stamp('ts')} ts, event_type as variable, value, count(*) n
     from (select date_trunc('second', ts) as ts, event_type, cast(cast(value as varchar) as double) as value from samples where value is not null)
-    where event_type in ('click', 'view') group by 1,2,3"""
+    group by 1,2,3"""
 )
 def insitu_upload_csv(spark, sf):
     """Field samples written as two CSV files whose columns come in different order, and read back as one folder."""
     folder = scratch_path(spark, "uploads")
-    rows = s.samples(spark, sf).where(F.col("event_type").isin("click", "view") & F.col("value").isNotNull()).select(
+    rows = s.samples(spark, sf).where(F.col("value").isNotNull())
+    types = [r.event_type for r in rows.select("event_type").distinct().orderBy("event_type").collect()]
+    rows = rows.select(
         F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"),
-        *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in ("click", "view")], (F.col("event_id") % 2).alias("half"),
+        *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in types], (F.col("event_id") % 2).alias("half"),
     )
-    for half, order in ((0, ("click", "view")), (1, ("view", "click"))):
+    for half, order in ((0, types), (1, types[::-1])):
         files.write_csv(rows.where(F.col("half") == half).select("date", "time", *order), f"{folder}/{half}", "append")
-    back = files.read_insitu_uploads(spark, f"{folder}/*", ["click", "view"])
+    back = files.read_insitu_uploads(spark, f"{folder}/*")
     return back.groupBy(stamp("ts").alias("ts"), "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    s.with_views("samples")
+    + f"""select {sql_stamp('ts')} ts, phycocyanin, chlorophyll, count(*) n from (
+      select date_trunc('second', ts) as ts, value as phycocyanin, null::double chlorophyll from samples where event_id % 3 = 0 and value is not null union all
+      select date_trunc('second', ts), value, value + 1 from samples where event_id % 3 = 1 and value is not null union all
+      select date_trunc('second', ts), null, value from samples where event_id % 3 = 2 and value is not null) group by 1,2,3"""
+)
+def sensor_exports(spark, sf):
+    """Sensor files of three kinds of headers and two kinds of times, read in one scan and renamed by parts of their headers."""
+    folder = scratch_path(spark, "exports")
+    rows = s.samples(spark, sf).where(F.col("value").isNotNull())
+    part = lambda k: rows.where(F.pmod(F.col("event_id"), F.lit(3)) == k)
+    time = lambda name, form: F.date_format("ts", form).alias(name)
+    value = F.col("value").cast("string")
+    files.write_csv(part(0).select(time("Time", "yyyy-MM-dd HH:mm:ss"), value.alias("Ficocianina (µg/L)")), f"{folder}/a")
+    files.write_csv(part(1).select((F.col("value") + 1).alias("Clorofila (µg/L)"), value.alias("Ficocianina (µg/L)"), time("Fecha-hora", "dd/MM/yyyy HH:mm:ss")), f"{folder}/b")
+    files.write_csv(part(2).select(time("Fecha-hora", "yyyy-MM-dd HH:mm:ss"), F.lit("x, y").alias("note"), value.alias("Clorofila (µg/L)")), f"{folder}/c")
+    merged = files.read_sensor_exports(spark, [f"{folder}/{k}" for k in "abcd"])
+    named = sensors.rename_by_substring(merged, {"fecha": "ts", "ficocianina": "phycocyanin", "clorofila": "chlorophyll"})
+    return named.groupBy(
+        stamp("ts").alias("ts"), *[lenient_double(F.col(c)).alias(c) for c in ("phycocyanin", "chlorophyll")]
+    ).agg(F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.functions import spectral
-from limnoscope.operators import matching, reduction, reshape, screening
+from limnoscope.operators import matching, reduction, reshape, screening, spatial
 from limnoscope.plans.products import product_records
 from limnoscope.session import scratch_path
 from limnoscope.sources import sinks
 from queries import standins as s
+from queries.geometry import _WEIGHED, _sql_shares, _sql_weighted
 from queries.registry import fixed, query, sql_fixed, sql_stamp, stamp
 
 NAMES = spectral.WATER_QUALITY_NAMES
@@ -56,6 +57,8 @@ SQL_PREDICTOR = {
     "B7_B5_diff": _f("{b7}-{b5}"),
 }
 SQL_CLEAR = "scl not in (8,9,10)"
+_SCREENED = "case when scl not in (4,5) then case when {} then 1e0 else 0e0 end end"
+_BY_CLASS, _BY_PROBABILITY = _SCREENED.format("scl in (7,8,9,10)"), _SCREENED.format("cldprb >= 10")
 SQL_WATER = f"(scl = 6 or (scl = 2 and year(scene_date) = {s.DARK_YEAR}))"
 
 
@@ -326,3 +329,97 @@ def product_export(spark, sf):
         "reservoir_id", F.col("scene_date").cast("date").alias("scene_date"), "tile", "x", "y",
         (F.col("area_m2") / 10000).alias("area_ha"), fixed("PCI_B5_B4").alias("PCI_B5_B4"), fixed("MCI").alias("MCI"),
     )
+
+
+@query(
+    s.with_views(
+        "pixel", "edge", **_sql_shares("pixel"), weighed=_WEIGHED.format("pixel"),
+        weighed_scene=f"""select reservoir_id, scene_date, tile, min(scene_ts) scene_ts,
+          coalesce(100e0*(0.95e0*{_sql_weighted(_BY_CLASS)} + 0.05e0*{_sql_weighted(_BY_PROBABILITY)}),
+            100e0*{_sql_weighted(_BY_CLASS)}, 100e0*{_sql_weighted(_BY_PROBABILITY)}) cloud_pct,
+          100e0*sum(case when b4 is not null then weight else 0e0 end)/sum(weight) coverage_count_pct, """
+        + ", ".join(f'{_sql_weighted(sql_index(n, True))} as "{n}"' for n in MAIN) + " from weighed group by 1,2,3",
+        weighed_best="""select * from (select *, row_number() over (partition by reservoir_id, scene_date order by cloud_pct, scene_ts, tile) rn
+          from weighed_scene where cloud_pct <= 60 and coverage_count_pct >= 50) where rn = 1""",
+    )
+    + f"select reservoir_id, scene_date, tile, {sql_fixed('cloud_pct')} cloud_pct, {sql_fixed('coverage_count_pct')} coverage_count_pct, "
+    + ", ".join(sql_shown(n) for n in MAIN)
+    + " from weighed_best where coalesce(" + ", ".join(f'"{n}"' for n in MAIN) + ") is not null"
+)
+def reservoir_daily_mean_weighted(spark, sf):
+    """Cloud, coverage and water means of the best scenes, pixels on the shore counting by the share inside the area."""
+    weighed = spatial.weigh_by_aoi(s.pixel(spark, sf), s.aoi(spark, sf))
+    means = reduction.reservoir_daily_means(weighed, MAIN, dark_year=s.DARK_YEAR, weight="weight")
+    return means.select(
+        "reservoir_id", "scene_date", "tile", fixed("cloud_pct").alias("cloud_pct"), fixed("coverage_count_pct").alias("coverage_count_pct"),
+        *[shown(n) for n in MAIN],
+    )
+
+
+@query(
+    s.with_views(
+        "pixel", "edge", **_sql_shares("pixel"), weighed=_WEIGHED.format("pixel"),
+        v=f"select reservoir_id, scene_date, tile, area_m2*weight as a, {sql_index('NDCI_ind', True)} as val from weighed",
+        total="select reservoir_id, scene_date, tile, coalesce(sum(case when val is not null then a end), 0e0) t from v group by 1,2,3",
+        cls="select * from (values " + ",".join(f"({i + 1},{lo}e0,{up}e0)" for i, (lo, up) in enumerate(zip(s.PARTIAL_EDGES, s.PARTIAL_EDGES[1:]))) + ") c(class_no, low, up)",
+        part="select v.reservoir_id, v.scene_date, v.tile, c.class_no, sum(a) a from v join cls c on v.val >= c.low and v.val < c.up group by 1,2,3,4",
+    )
+    + f"""select t.reservoir_id, t.scene_date, t.tile, c.class_no, {sql_fixed('coalesce(p.a,0e0)/10000e0')} area_ha,
+      {sql_fixed('case when t.t > 0 then 100e0*coalesce(p.a,0e0)/t.t else 0e0 end')} "percent"
+    from total t join cls c on true left join part p on p.reservoir_id=t.reservoir_id and p.scene_date=t.scene_date
+      and p.tile=t.tile and p.class_no=c.class_no"""
+)
+def area_by_class_weighted(spark, sf):
+    """Areas of classes inside the area, pixels on the shore counting by the share inside."""
+    weighed = spatial.weigh_by_aoi(s.pixel(spark, sf), s.aoi(spark, sf))
+    rows = reduction.area_by_class(weighed, "NDCI_ind", s.PARTIAL_EDGES, dark_year=s.DARK_YEAR, weight="weight")
+    return rows.select("reservoir_id", "scene_date", "tile", "class_no", fixed("area_ha").alias("area_ha"), fixed("percent").alias("percent"))
+
+
+_SCALE = 60
+_BANDS = ("PCI_B5/B4", "MCI")
+
+
+@query(
+    s.with_views(
+        "pixel",
+        v="select reservoir_id, scene_date, tile, cast(floor((x+10)/60) as bigint) cx, cast(floor((y+10)/60) as bigint) cy, area_m2, scl, "
+        + ", ".join(f'{sql_index(n)} as "{n.replace("/", "_")}"' for n in _BANDS) + " from pixel",
+        often="""select *, row_number() over (partition by reservoir_id, scene_date, tile, cx, cy order by n desc, scl) rn from
+          (select reservoir_id, scene_date, tile, cx, cy, scl, count(*) n from v where scl is not null group by all)""",
+        cells="select reservoir_id, scene_date, tile, cx, cy, sum(area_m2) area_m2, count(*) n_pixels, "
+        + ", ".join(f'avg("{n.replace("/", "_")}") as "{n.replace("/", "_")}"' for n in _BANDS) + " from v group by 1,2,3,4,5",
+    )
+    + "select reservoir_id, scene_date, tile, (cx+0.5e0)*60e0-10e0 x, (cy+0.5e0)*60e0-10e0 y, area_m2, n_pixels, "
+    + ", ".join(sql_fixed(f'"{b}"') + f' as "{b}"' for b in (n.replace("/", "_") for n in _BANDS))
+    + """, o.scl from cells c left join (select * from often where rn = 1) o using (reservoir_id, scene_date, tile, cx, cy)"""
+)
+def product_export_scaled(spark, sf):
+    """Index bands and scene classes on a grid of 60 m, written by date and read back."""
+    path = scratch_path(spark, "product")
+    sinks.export_product(s.pixel(spark, sf), list(_BANDS), path, scale=_SCALE, classes=["scl"])
+    stored = spark.read.parquet(path)
+    return stored.select(
+        "reservoir_id", F.col("scene_date").cast("date").alias("scene_date"), "tile", "x", "y", "area_m2", "n_pixels",
+        fixed("PCI_B5_B4").alias("PCI_B5_B4"), fixed("MCI").alias("MCI"), "scl",
+    )
+
+
+@query(
+    s.with_views("pixel")
+    + f"""select reservoir_id, scene_date, tile, {sql_fixed('avg((b8a/10000e0 - b4/10000e0)/nullif(b8a/10000e0 + b4/10000e0, 0))')} ndvi_narrow,
+      {sql_fixed('avg(b3/10000e0)')} green from pixel where scl not in (8,9,10) group by 1,2,3"""
+)
+def registered_index(spark, sf):
+    """Two indices of one's own, registered once and then used by name like any other; clouds masked."""
+    own = {
+        "ndvi_narrow": spectral.SpectralIndex("ndvi_narrow", ("b4", "b8a"), lambda r: F.try_divide(r["b8a"] - r["b4"], r["b8a"] + r["b4"]), cloud_masked=True),
+        "green": spectral.SpectralIndex("green", ("b3",), lambda r: r["b3"], cloud_masked=True),
+    }
+    known = {i.name for i in spectral.catalogue()}
+    for name, index in own.items():
+        if name not in known:
+            spectral.register(index)
+    clear = s.pixel(spark, sf).where(~F.col("scl").isin(8, 9, 10))
+    means = clear.groupBy("reservoir_id", "scene_date", "tile").agg(*reduction.aoi_means(list(own)))
+    return means.select("reservoir_id", "scene_date", "tile", *[fixed(n).alias(n) for n in own])

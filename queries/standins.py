@@ -187,6 +187,9 @@ VIEWS |= {
         from held where split = 'train' group by 1,2) where n >= 8""",
     "cleaned": """select h.* exclude (split), case when h.split = 'train' and (h.y_true < f.low or h.y_true > f.high) then 'outlier'
         else h.split end split from held h left join fence f using (reservoir_id, variable)""",
+    # Groups with fewer than five train rows get no models.
+    "modelled": """select * from cleaned join (select reservoir_id, variable from cleaned where split = 'train'
+        group by 1,2 having count(*) >= 5) using (reservoir_id, variable)""",
     "trained": """select *, row_number() over (partition by reservoir_id, variable
           order by md5(concat_ws('|', 'kfold', reservoir_id, variable, d))) hash_rank,
         row_number() over (partition by reservoir_id, variable order by d) day_rank,
@@ -195,12 +198,14 @@ VIEWS |= {
         cast(case when day_rank - 1 < n_train - k * (n_train // (k+1)) then 0
           else (day_rank - 1 - (n_train - k * (n_train // (k+1)))) // (n_train // (k+1)) + 1 end as int) block
         from (select *, least(5, greatest(2, n_train - 1)) k from trained)""",
+    "folded_modelled": "select * from folded where n_train >= 5",
 }
 _NEEDS = {
     "scene": ["pixel"], "scene_box": ["pixel"], "passing": ["scene"], "best": ["passing"], "feed": ["samples"],
     "usable": ["scene"], "asked": ["samples"], "satellite": ["asked", "usable"], "near": ["samples", "satellite"],
     "daily": ["near"], "feature": ["pixel"], "calib": ["daily", "satellite", "feature"], "gated": ["calib"],
     "held": ["gated"], "fence": ["held"], "cleaned": ["held", "fence"], "trained": ["cleaned"], "folded": ["trained"],
+    "modelled": ["cleaned"], "folded_modelled": ["folded"],
 }
 
 
