@@ -99,23 +99,34 @@ def calibrated_bands(pixels: DataFrame, config: DataFrame, predictors: Sequence[
     usable = config.where("available")
     if "predictor_set" not in config.columns:
         usable = usable.withColumn("predictor_set", F.array(*[F.lit(p) for p in predictors]))
-    fitted = F.struct("predictor_set", "intercept", "coefficients", "fill_values")
+    # Everything that does not hang on a pixel is worked out on the configurations: plain columns in the caller's order.
+    terms = ["intercept", *[f"{kind}{i}" for i in range(len(predictors)) for kind in ("c", "f")]]
+    plain = {"c_intercept": F.col("intercept")}
+    for i, name in enumerate(predictors):
+        at = F.array_position("predictor_set", name).cast("int")
+        # A predictor that the configuration does not name adds nothing.
+        plain[f"c_c{i}"] = F.when(at > 0, F.get("coefficients", at - 1)).otherwise(F.lit(0.0))
+        plain[f"c_f{i}"] = F.when(at > 0, F.get("fill_values", at - 1)).otherwise(F.lit(0.0))
+    usable = usable.withColumns(plain)
     picked = []
     for k, variable in enumerate(bands.values()):
         mine = F.lit(True) if variable is None else F.col("variable") == variable
-        picked += [F.count(F.when(mine, 1)).alias(f"_n{k}"), F.max(F.when(mine, fitted)).alias(f"_c{k}")]
+        picked.append(F.count(F.when(mine, 1)).alias(f"_n{k}"))
+        picked += [F.max(F.when(mine, F.col(f"c_{t}"))).alias(f"_{t}_{k}") for t in terms]
     single = usable.groupBy("reservoir_id").agg(*picked)
     for k in range(len(bands)):
-        several = F.raise_error(F.concat(F.lit("several configurations for reservoir "), F.col("reservoir_id").cast("string")))
-        single = single.withColumn(f"_c{k}", F.when(F.col(f"_n{k}") > 1, several.cast(single.schema[f"_c{k}"].dataType)).otherwise(F.col(f"_c{k}")))
-    single = single.select("reservoir_id", *[f"_c{k}" for k in range(len(bands))])
-    joined = lookup_join(pixels, single, ["reservoir_id"], ["pixel_id"], how="left")
-    columns = {}
-    for k, out in enumerate(bands):
-        total = F.col(f"_c{k}.intercept")
-        for name in predictors:
-            at = F.array_position(F.col(f"_c{k}.predictor_set"), name).cast("int")
-            value = F.coalesce(spectral.index_column(name), F.get(F.col(f"_c{k}.fill_values"), at - 1))
-            total = total + F.when(at > 0, value * F.get(F.col(f"_c{k}.coefficients"), at - 1)).otherwise(F.when(at == 0, 0.0))
-        columns[out] = masks.masked(at_least_zero(total), masks.clear_for_indices(F.col("scl")))
-    return joined.withColumns(columns).drop(*[f"_c{k}" for k in range(len(bands))])
+        several = F.raise_error(F.concat(F.lit("several configurations for reservoir "), F.col("reservoir_id").cast("string"))).cast("double")
+        single = single.withColumn(f"_intercept_{k}", F.when(F.col(f"_n{k}") > 1, several).otherwise(F.col(f"_intercept_{k}")))
+    own = [f"_{t}_{k}" for k in range(len(bands)) for t in terms]
+    joined = lookup_join(pixels, single.select("reservoir_id", *own), ["reservoir_id"], ["pixel_id"], how="left")
+    totals = {}
+    for k in range(len(bands)):
+        total = F.col(f"_intercept_{k}")
+        for i, name in enumerate(predictors):
+            total = total + F.coalesce(spectral.index_column(name), F.col(f"_f{i}_{k}")) * F.col(f"_c{i}_{k}")
+        totals[f"_total_{k}"] = total
+    # The sum is a column of its own, since clamping reads it twice.
+    summed = joined.withColumns(totals)
+    clear = masks.clear_for_indices(F.col("scl"))
+    shown = {out: masks.masked(at_least_zero(F.col(f"_total_{k}")), clear) for k, out in enumerate(bands)}
+    return summed.withColumns(shown).drop(*own, *totals)

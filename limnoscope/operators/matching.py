@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnoscope.functions import spectral, temporal
 from limnoscope.functions.numeric import lenient_double
@@ -128,6 +128,56 @@ def near_overpass(insitu: DataFrame, satellite: DataFrame, hours: float = 1.5) -
     return lookup_join(insitu, passes, ["reservoir_id", "date"], ["ts", "value"], near)
 
 
+def nearest_in_time(
+    rows: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    event_ts: str,
+    within_seconds: int,
+    carry: Sequence[str] = (),
+    salts: int = 8,
+) -> DataFrame:
+    """`rows` with the nearest event of the same keys at most `within_seconds` away, before or after, across midnight.
+
+    Adds `event_ts`, the `carry` columns and `seconds_away` (event minus row); rows without such an event are left out, of
+    two events equally far the earlier counts, of two at one time the one with the smaller `carry` values. Null keys and
+    times match nothing.
+
+    Both sides are put on one time line and cut into buckets of that many seconds. Inside a bucket, ordered by time, a row
+    takes the last event before and the first one after it. Events beyond the neighbouring buckets are too far away, and of
+    those only the nearest edge matters, so each bucket lends its first and last event to its neighbours. No range join
+    takes place, and rows of a crowded bucket are spread over `salts` tasks, each with the bucket's few events.
+    """
+    width = F.lit(int(within_seconds))
+    seconds = lambda c: F.unix_micros(F.col(c)) / F.lit(1e6)
+    bucket = lambda c: F.floor(seconds(c) / width)
+    event = F.struct(F.col(event_ts).cast("timestamp").alias("at"), *carry).alias("event")
+    named = lambda df, time: df.na.drop(subset=[*keys, time])
+    known = named(events, event_ts).select(*keys, bucket(event_ts).alias("_bucket"), event).dropDuplicates()
+    edges = known.groupBy(*keys, "_bucket").agg(F.min("event").alias("first"), F.max("event").alias("last"))
+    lent = edges.select(*keys, (F.col("_bucket") - 1).alias("_bucket"), F.col("first").alias("event")).unionByName(
+        edges.select(*keys, (F.col("_bucket") + 1).alias("_bucket"), F.col("last").alias("event"))
+    )
+    spread = known.unionByName(lent).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    given = named(rows, ts).select(
+        *keys, bucket(ts).alias("_bucket"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int").alias("_salt"),
+        F.col(ts).cast("timestamp").alias("_at"), F.struct(*rows.columns).alias("_row"),
+    )
+    line = spread.withColumn("_at", F.col("event.at")).unionByName(given, allowMissingColumns=True)
+    place = Window.partitionBy(*keys, "_bucket", "_salt")
+    # At one time, events come first on the way up and on the way down, so a row meets those of its own time both ways.
+    before = F.last("event", True).over(place.orderBy("_at", F.col("_row").isNotNull(), F.col("event").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("event", True).over(place.orderBy(F.col("_at").desc(), F.col("_row").isNotNull(), F.col("event").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    met = line.withColumns({"_before": before, "_after": after}).where("_row is not null")
+    far = lambda c: F.abs(F.unix_micros(F.col(f"{c}.at")) - F.unix_micros("_at"))
+    nearer_after = F.col("_before").isNull() | (far("_after") < far("_before"))
+    chosen = met.withColumn("_event", F.when(nearer_after, F.col("_after")).otherwise(F.col("_before")))
+    away = (F.unix_micros("_event.at") - F.unix_micros("_at")) / F.lit(1e6)
+    near = chosen.withColumn("seconds_away", away).where(F.abs("seconds_away") <= width)
+    return near.select("_row.*", F.col("_event.at").alias(event_ts), *[F.col(f"_event.{c}").alias(c) for c in carry], "seconds_away")
+
+
 def daily_statistics(samples: DataFrame, keys: Sequence[str] = ("reservoir_id", "date", "variable")) -> DataFrame:
     """Mean, exact median, smallest, largest and count per group."""
     return grouped_distribution(samples, keys, "value", {"value_median": 0.5})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from limnoscope.functions import text
 from limnoscope.functions.numeric import lenient_double
-from limnoscope.operators import reshape, sensors, tables
+from limnoscope.operators import reshape, sensors, stored_tables, tables
 from limnoscope.plans.ingest import pages_to_sensor_rows
 from limnoscope.schemas import SENSOR_IDENTITY
 from limnoscope.session import scratch_path
@@ -248,7 +248,7 @@ def stream_daily_stats(spark, sf):
     path, marks = scratch_path(spark, "counts"), scratch_path(spark, "counts-marks")
     keys = ["reservoir_id", "variable"]
     counts = sensor_stream.daily_value_counts(_event_stream(spark, sf), keys, "value")
-    sensor_stream.keep_current(counts, path, marks).awaitTermination()
+    sensor_stream.keep_current(counts, path, marks, keys, merge_every=1).awaitTermination()
     rows = sensor_stream.current_daily_statistics(spark, path, keys)
     return rows.select(
         "reservoir_id", "date", "variable", "n_obs",
@@ -299,3 +299,54 @@ def sensor_exports(spark, sf):
     return named.groupBy(
         stamp("ts").alias("ts"), *[lenient_double(F.col(c)).alias(c) for c in ("phycocyanin", "chlorophyll")]
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """with k as (select c_custkey, c_name, c_acctbal from customer),
+    pages as (select *, row_number() over (order by c_custkey desc) rn, count(*) over () total from k)
+    select c_custkey, c_name, c_acctbal, total, (rn - 1) // 40 as page_no from pages where rn <= 120"""
+)
+def table_seek_pages(spark, sf):
+    """Three pages of a stored table, each sought by the last key of the one before, with the total."""
+    path = scratch_path(spark, "paged")
+    stored_tables.write_paged(s.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "c_custkey", files=8)
+    pages, last = [], None
+    for k in range(3):
+        page = stored_tables.seek_page(spark, path, "c_custkey", 40, last)
+        last = page.agg(F.min("c_custkey")).first()[0]
+        pages.append(page.withColumn("page_no", F.lit(k).cast("long")))
+    return reshape.union_all(pages).withColumn("total", stored_tables.total_rows(spark, path).scalar())
+
+
+_TERMS = ("#00000001", "0%17", "FURNI", "y")
+
+
+@query(" union all ".join(f"select '{t}' as term, c_custkey, c_name, c_mktsegment from customer where c_name ilike '%{t}%' or c_mktsegment ilike '%{t}%'" for t in _TERMS))
+def table_search_parts(spark, sf):
+    """Rows that hold a term, found by its three-letter parts; a shorter term is searched for in all rows."""
+    customers = s.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path, columns = scratch_path(spark, "parts"), ["c_name", "c_mktsegment"]
+    stored_tables.write_search_parts(customers, path, "c_custkey", columns)
+    found = [stored_tables.search_by_parts(customers, path, "c_custkey", columns, term).withColumn("term", F.lit(term)) for term in _TERMS]
+    return reshape.union_all(found)
+
+
+@query(
+    f"""select o_orderkey, {sql_fixed('case when o_orderkey % 512 = 5 then o_totalprice*1.1e0 else o_totalprice end', 4)} o_totalprice,
+      case when o_orderkey % 512 = 5 then '9-CHANGED' else o_orderpriority end o_orderpriority from orders where o_orderkey % 640 <> 1 union all
+    select 1000000000000 + n_nationkey, {sql_fixed('n_nationkey*1.5e0', 4)}, n_name from nation where n_nationkey < 3"""
+)
+def bucketed_changes(spark, sf):
+    """Updates, deletes and inserts by key in a table of buckets, of which only those touched are rewritten."""
+    orders = s.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    path = scratch_path(spark, "buckets")
+    stored_tables.write_buckets(orders, path, "o_orderkey", 64)
+    changed = orders.where("o_orderkey % 512 = 5").select(
+        "o_orderkey", (F.col("o_totalprice") * 1.1).alias("o_totalprice"), F.lit("9-CHANGED").alias("o_orderpriority")
+    )
+    added = s.table(spark, sf, "nation").where("n_nationkey < 3").selectExpr(
+        "1000000000000 + n_nationkey as o_orderkey", "n_nationkey*1.5D as o_totalprice", "n_name as o_orderpriority"
+    )
+    stored_tables.change_buckets(spark, path, "o_orderkey", 64, updates=changed, deletes=orders.where("o_orderkey % 640 = 1"))
+    stored_tables.change_buckets(spark, path, "o_orderkey", 64, inserts=added)
+    return stored_tables.read_buckets(spark, path).withColumn("o_totalprice", fixed("o_totalprice", 4))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnoscope.functions.temporal import clock
-from limnoscope.operators import matching, quantiles
+from limnoscope.operators import matching, quantiles, screening
 from limnoscope.session import cut_lineage
 from queries import standins as s
 from queries.registry import fixed, query, sql_fixed, sql_stamp, stamp
@@ -130,3 +130,28 @@ def quantiles_hot_groups(spark, sf):
     rows = s.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("g"), F.expr(_NARROW.replace("e0", "D").replace("2e7", "2e7D").replace("3e8", "3e8D")).alias("value"))
     found = quantiles.grouped_distribution(rows, ["g"], "value", {"q1": 0.25, "median": 0.5, "q99": 0.99}, small_group_rows=100)
     return found.select("g", "n_obs", *[fixed(n, 9).alias(n) for n in ("q1", "median", "q99")])
+
+
+# Overpasses shifted to both sides of midnight.
+@query(
+    s.with_views(
+        "samples", "scene",
+        passes="select reservoir_id, tile, scene_ts + interval 13 hour as pass_ts from scene",
+        met="""select s.event_id, s.reservoir_id, s.ts, p.pass_ts, p.tile, row_number() over (partition by s.event_id
+            order by abs(epoch_us(p.pass_ts) - epoch_us(s.ts)), p.pass_ts, p.tile) rn
+          from samples s join passes p on p.reservoir_id = s.reservoir_id and p.pass_ts between s.ts - interval 10 hour and s.ts + interval 10 hour""",
+    )
+    + f"""select event_id, reservoir_id, {sql_stamp('ts')} ts, {sql_stamp('pass_ts')} pass_ts, tile,
+      {sql_fixed('(epoch_us(pass_ts) - epoch_us(ts))/1e6', 3)} seconds_away, cast(ts as date) <> cast(pass_ts as date) other_day from met where rn = 1"""
+)
+def nearest_overpass(spark, sf):
+    """The overpass nearest in time to each sample, at most ten hours away, on whichever side of midnight."""
+    passes = screening.scene_statistics(s.pixel(spark, sf)).select(
+        "reservoir_id", "tile", (F.col("scene_ts") + F.expr("interval 13 hours")).alias("pass_ts")
+    )
+    samples = s.samples(spark, sf).select("event_id", "reservoir_id", "ts")
+    found = matching.nearest_in_time(samples, passes, ["reservoir_id"], "ts", "pass_ts", 36_000, ["tile"])
+    return found.select(
+        "event_id", "reservoir_id", stamp("ts").alias("ts"), stamp("pass_ts").alias("pass_ts"), "tile", fixed("seconds_away", 3).alias("seconds_away"),
+        (F.to_date("ts") != F.to_date("pass_ts")).alias("other_day"),
+    )
