@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from limnoscope.llm.rows import settled
+from limnoscope.llm.rows import released, settled
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,9 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     both = settled(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    after = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
+        before, labels = after, after.select("node", "component")
         near = both.join(labels.select(F.col("node").alias("b"), "component").hint("merge"), "b")
         low = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         hooked = labels.join(low.hint("merge"), "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
@@ -26,6 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
                 "node", F.least("low", F.coalesce("far", "low")).alias("component"), F.col("component").alias("was")
             )
         )
-        labels = after.select("node", "component")
+        released(before)
         if after.where("component <> was").isEmpty():
-            return labels
+            released(both)
+            return after.select("node", "component")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from limnoscope.session import checkpoint_dir
 
@@ -32,3 +35,34 @@ def settled(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
+
+def released(*frames: DataFrame | None) -> None:
+    """Deletes the checkpoint files of settled tables (or plain selections of one) that nothing reads any more.
+
+    A loop over settled tables would otherwise keep every round's files to the end of the session.
+    """
+    for df in frames:
+        if df is None:
+            continue
+        context = df.sparkSession.sparkContext
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for k in range(leaves.size()):
+            file = leaves.apply(k).rdd().getCheckpointFile()
+            if file.isDefined():
+                path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries made inside go when each query ends, not when the session does.
+
+    For operators of many jobs whose results are settled tables; a query that runs again shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
