@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnoscope.calibration import config as cfg, linear, splits, trees
+from limnoscope.calibration import config as cfg, forests, linear, splits, trees
 from limnoscope.operators import quantiles, reduction
 from limnoscope.plans import calibration as plan
 from limnoscope.session import cut_lineage
@@ -278,6 +278,13 @@ def tree_models(spark, sf):
     return metrics
 
 
+@query()
+def forest_models(spark, sf):
+    """Forests of every reservoir and variable at once over the whole grid: scores of the chosen grid points."""
+    parts = cut_lineage(splits.assign_parts(cut_lineage(gated(spark, sf)), "kfold", 5))
+    return forests.fit_forests(parts, PREDICTORS).metrics
+
+
 # --- calibrated bands ------------------------------------------------------------------------------------
 # Coefficients of a given configuration, varied by reservoir through the key.
 _TERMS = {"NDCI_705_665": (12.5, 0.1), "R740_R665": (-1.75, 0.9), "TB_783": (40.0, 0.0)}
