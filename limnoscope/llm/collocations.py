@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from limnoscope.llm import wordhash
-from limnoscope.llm.rows import settled
+from limnoscope.llm.rows import brief_shuffles, settled
 from limnoscope.llm.wordhash import FOLD, U, mix
 from limnoscope.session import scratch_path
 
@@ -241,6 +241,7 @@ def ranked(found: DataFrame, totals: DataFrame, mining: Mining = Mining()) -> Da
 
 def collocations(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """The strongest phrases of each language of `docs` (lang, text)."""
-    chunks = dictionary(docs, mining)
-    totals = chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("seen")).alias("n"))
-    return ranked(settled(frequent_phrases(chunks, mining)), totals, mining)
+    with brief_shuffles(docs.sparkSession):
+        chunks = dictionary(docs, mining)
+        totals = chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("seen")).alias("n"))
+        return ranked(settled(frequent_phrases(chunks, mining)), totals, mining)
