@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,7 +32,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from limnoscope.llm.rows import free_name
 
 SPACE = "▁"
-REMEMBERED = 600_000
+#: Characters of chunks that a worker remembers: some 100 MB with their ids.
+REMEMBERED = 2_000_000
+#: Ids in a batch of results.
+BATCH_IDS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,6 +102,7 @@ class Model:
     squeeze: bool
     chunk: re.Pattern = field(init=False)
     memory: dict = field(default_factory=dict)
+    remembered: int = 0
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -247,14 +252,17 @@ class Model:
     def encode_ids(self, norm: str) -> list[int]:
         """Ids of a normalised text. Chunks met before are remembered; the memory is emptied when full."""
         memory = self.memory
-        if len(memory) > REMEMBERED:
+        if self.remembered > REMEMBERED:
             memory.clear()
+            self.remembered = 0
         chunks = self.chunk.findall(norm)
         for c in set(chunks).difference(memory):
             memory[c] = self._chunk(c)
+            self.remembered += len(c)
         out = list(chain.from_iterable(map(memory.__getitem__, chunks)))
         for c in self.long_chunks(chunks):
-            memory.pop(c, None)
+            if memory.pop(c, None) is not None:
+                self.remembered -= len(c)
         return out
 
     @staticmethod
@@ -377,22 +385,30 @@ def digests(docs: DataFrame, model_path: str, column: str = "text", with_ids: bo
 
     def run(batches):
         model = _loaded(data.value)
+        names, kinds = model.names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        titles = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "last_end", *(["ids"] if with_ids else [])]
         for batch in batches:
-            n, ids_, texts, ends, kept = [], [], [], [], []
-            names = model.names
-            for text in batch.column("text").to_pylist():
-                ids, _, end = model.encode(text)
-                n.append(len(ids))
-                ids_.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                texts.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
-                ends.append(int(end[-1]) if len(end) else 0)
+            # One text at a time and one flat buffer of ids; a batch of results ends when that is full.
+            rows, flat = [], array("i")
+
+            def results():
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum([r[1] for r in rows])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, dtype=np.int32))))
+                return pa.RecordBatch.from_arrays(columns, names=titles)
+
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                ids, _, end = model.encode(text.as_py())
+                coded = hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest()
+                rows.append((doc_id.as_py(), len(ids), coded, hashlib.sha256(model.decode(ids).encode()).hexdigest(), int(end[-1]) if len(end) else 0))
                 if with_ids:
-                    kept.append(pa.array(ids, pa.int32()))
-            more = [pa.array([x.to_numpy() for x in kept], pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(texts, pa.string()), pa.array(ends, pa.int64()), *more],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "last_end", *(["ids"] if with_ids else [])],
-            )
+                    flat.extend(ids)
+                if len(flat) >= BATCH_IDS:
+                    yield results()
+                    rows, flat = [], array("i")
+            if rows:
+                yield results()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, last_end long" + (", ids array<int>" if with_ids else ""))
