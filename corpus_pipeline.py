@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near copies, benchmark leaks, personal data, tokens.
 
 Each stage takes all documents that the one before kept, as written Parquet, and returns documents again; the last one
-returns their tokens. Stages that filter keep every clean document; rows without an id are judged like the others.
+returns their tokens. Stages that filter keep every clean document. Rows without an id are judged like the others, but for
+copies: without an id to choose by they are compared with nothing and stay.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from limnoscope.llm import decontaminate, near_dedup, pii, quality_rules, sentencepiece_codec
 from limnoscope.llm.queries import public_model, table
-from limnoscope.llm.rows import free_name, settled
+from limnoscope.llm.rows import free_name
 from limnoscope.session import scratch_path
 
 
@@ -30,28 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Different texts that share an id are different documents.
     """
-    mark = free_name(docs, "text_md5")
-    marked = docs.withColumn(mark, F.coalesce(F.md5(F.col("text")), F.lit("")))
-    named = marked.where("doc_id is not null")
-    counted = settled(named.groupBy("doc_id", mark).count())
-    shared = counted.groupBy("doc_id").count().where("count > 1")
-    if shared.isEmpty():
-        found = near_dedup.near_duplicates(docs.select("doc_id", "text"), STAGE_SKETCH)
-        left = marked.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    else:
-        # Every text gets a number of its own, in the order of the ids.
-        texts = named.select("doc_id", mark, "text").dropDuplicates(["doc_id", mark])
-        numbered = settled(texts.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark).withColumn("number", F.monotonically_increasing_id()))
-        found = near_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), STAGE_SKETCH)
-        gone = numbered.select("number", "doc_id", mark).join(found.where("not kept").select(F.col("doc_id").alias("number")), "number", "left_semi")
-        left = marked.join(gone.select("doc_id", mark), ["doc_id", mark], "left_anti")
-    twice = counted.where("count > 1").select("doc_id", mark)
-    if twice.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(twice, ["doc_id", mark], "left_anti").select(*docs.columns)
-    row = F.struct(*docs.columns)
-    rest = left.join(twice, ["doc_id", mark], "left_semi").groupBy("doc_id", mark).agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return once.unionByName(rest.select("row.*"))
+    return near_dedup.without_copies(docs, STAGE_SKETCH)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
