@@ -139,10 +139,10 @@ def train(codes: np.ndarray, tags: np.ndarray, classes: int, steps: int = 260, b
 
 
 def best_paths(p: dict, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Viterbi tags of padded score sequences; steps beyond a length keep the state."""
+    """Viterbi tags of padded score sequences; steps beyond a length keep the state. One byte a tag for the way back."""
     n, steps, k = scores.shape
     best = scores[:, 0] + p["start"]
-    back = np.zeros((n, steps, k), dtype=np.int64)
+    back = np.zeros((n, steps, k), dtype=np.uint8)
     for t in range(1, steps):
         total = best[:, :, None] + p["moves"][None]
         back[:, t] = total.argmax(1)
@@ -150,7 +150,7 @@ def best_paths(p: dict, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         live = t < lengths
         back[~live, t] = np.arange(k)
         best = np.where(live[:, None], moved, best)
-    tags = np.zeros((n, steps), dtype=np.int64)
+    tags = np.zeros((n, steps), dtype=np.uint8)
     tags[:, -1] = best.argmax(1)
     for t in range(steps - 1, 0, -1):
         tags[:, t - 1] = back[np.arange(n), t, tags[:, t]]
