@@ -5,10 +5,11 @@ in links lowers it, and a page rich in links lowers it further. A node's density
 subtree with the largest sum is taken, and the least density on the path from it to the body is the threshold that
 decides which neighbours on that path belong to the text as well.
 
-What is never text is left out of the tree: scripts, styles, forms, menus, footers, sidebars, comments, hidden parts
-and elements whose class, id or role names an advert, notice, sidebar, menu or comment list. Such a name does not drop
-the element that wraps all articles of the page. A name that is only part of a compound (`has-sidebar`, `ad-free`) does not
-drop an element either that holds the densest text, or prose inside an article.
+What is never text is left out of the tree: scripts, styles, form controls, menus, footers, sidebars, comments, hidden
+parts, forms and elements whose class, id or role names an advert, notice, sidebar, menu or comment list. Neither a form
+nor such a name drops the element that wraps all articles of the page, or all but a tenth of its text. A name that is only
+part of a compound (`has-sidebar`, `ad-free`) does not drop an element either that holds the densest text, or prose inside
+an article. All articles of the body belong to the text if they are prose.
 
 Blocks are the runs of text between block elements. White space in a block becomes one space; blocks are joined by one
 line feed. Character references are decoded.
@@ -35,7 +36,7 @@ BLOCKS = frozenset(
     "title tr ul".split()
 )
 NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas audio video nav menu footer aside form button select textarea input dialog".split()
+    "head script style noscript template iframe object svg canvas audio video nav menu footer aside button label select textarea input dialog".split()
 )
 #: A paragraph ends where one of these begins.
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "summary"}
@@ -49,15 +50,17 @@ BOILERPLATE = frozenset(
     "share sharing social related recommended recommendations search login skip toc complementary contentinfo".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-SPACES = re.compile(r"[\s ​]+")
+SPACES = re.compile(r"\s+")
 BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "named")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "named", "article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: str = ""):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        #: The innermost article around the node, itself included.
+        self.article: Node | None = self if tag in ("article", "main") else parent.article if parent is not None else None
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,10 +73,7 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], parent: Node
         return False
     # A page's header is left out, an article's own header holds its title.
     if tag == "header":
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
+        return parent is None or parent.article is None
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -83,7 +83,9 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], parent: Node
 
 
 def _named(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-    """"whole" if a word of class, id or role is boilerplate, "part" if only a part of a compound word is."""
+    """"whole" for a form or if a word of class, id or role is boilerplate, "part" if only a part of a compound word is."""
+    if tag == "form":
+        return "whole"
     found = ""
     if tag not in ("html", "body", "article", "main", "header"):
         for name, value in attrs:
@@ -103,6 +105,8 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.at = self.root
+        #: How many elements of each name are open, so nothing is looked for in vain.
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -121,11 +125,12 @@ class Builder(HTMLParser):
         parent.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path", "iframe", "object"):
-            self.at = self.at.parent
+            self._end(self.at)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -134,13 +139,23 @@ class Builder(HTMLParser):
             self._close(tag, barrier=BLOCKS)
 
     def _close(self, tag: str, barrier) -> None:
+        if not self.open.get(tag):
+            return
         node = self.at
         while node.parent is not None and node.tag != tag:
             if node.tag in barrier:
                 return
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self._end(node)
+
+    def _end(self, node: Node) -> None:
+        """Ends the node and whatever is open below it."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def handle_data(self, data):
         if not self.at.dropped:
@@ -213,11 +228,15 @@ def _drop_named(root: Node) -> None:
     if not any(n.named for n in order):
         return
     # Articles outside of named elements are the page's own; only without them is one inside, and its wrapper stays.
+    inside: dict[int, bool] = {}
+    for n in order:
+        inside[id(n)] = bool(n.named) or n is not root and inside[id(n.parent)]
     articles = [n for n in order if n.tag in ("article", "main") and n.chars]
-    if articles and all(any(x.named for x in _up(n)) for n in articles):
-        wrapped = max(articles, key=lambda n: n.chars)
-        for x in _up(wrapped):
+    if articles and all(inside[id(n)] for n in articles):
+        for x in _up(max(articles, key=lambda n: n.chars)):
             x.named = ""
+    elif not articles:
+        _keep_wrapper(root, order)
     for node in order:
         if node.named == "whole":
             node.dropped = True
@@ -227,12 +246,31 @@ def _drop_named(root: Node) -> None:
     for node in order:
         if node.named != "part" or id(node) in holds:
             continue
-        around = next((x for x in _up(node) if x.tag in ("article", "main")), None)
+        around = node.article
         if around is None or node.density < around.density / 2 or 2 * node.link_chars > node.chars:
             node.dropped = True
     _measure(root)
 
 
+def _keep_wrapper(root: Node, order: list[Node]) -> None:
+    """Clears the name of an element that holds all but a tenth of the page's text outside links, and of what wraps it."""
+    plain = lambda n: n.chars - n.link_chars
+    wrapper = root
+    while True:
+        # The outermost named elements below the wrapper; what is left without them.
+        outer, todo = [], [wrapper]
+        while todo:
+            for c in todo.pop().children:
+                if isinstance(c, Node) and not c.dropped:
+                    (outer if c.named == "whole" else todo).append(c)
+        largest = max(outer, key=plain, default=None)
+        if largest is None or 10 * (plain(wrapper) - sum(map(plain, outer))) >= plain(largest):
+            return
+        for x in _up(largest):
+            x.named = ""
+        wrapper = largest
+
+
 def _chosen(root: Node) -> Node:
     """The subtree with the largest density sum, and the neighbours on its path that reach the path's threshold."""
     order = _below(root)
@@ -241,7 +279,7 @@ def _chosen(root: Node) -> Node:
     while best.tag not in BLOCKS and best.parent is not None:
         best = best.parent
     if articles and best.tag in ("body", "html"):
-        return max(articles, key=lambda n: n.chars)
+        best = max(articles, key=lambda n: n.chars)
     path = _up(best)
     threshold = min((n.density for n in path if n.chars), default=0.0)
     # An article is one whole: its sparse parts, such as headings, belong to it. Neighbours of the outermost may join it.
@@ -250,17 +288,18 @@ def _chosen(root: Node) -> Node:
     taken, below = path[start], path[start]
     for node in path[start + 1 :]:
         # A page with an article on the path has named its text itself, so what else the body holds stays out.
-        if whole and node.tag in ("body", "html"):
-            break
-        taken = _with_neighbours(node, below, taken, threshold)
+        # Its other articles do not.
+        outside = whole and node.tag in ("body", "html")
+        taken = _with_neighbours(node, below, taken, threshold, ("article", "main") if outside else None)
         below = node
     return taken
 
 
-def _with_neighbours(node: Node, below: Node, taken: Node, threshold: float) -> Node:
+def _with_neighbours(node: Node, below: Node, taken: Node, threshold: float, only: tuple[str, ...] | None = None) -> Node:
     """`taken`, the text of the child `below`, with the node's other children that reach the threshold, in page order.
 
-    Text and inline elements between two blocks are one child. Headings before the last child taken are taken too.
+    Text and inline elements between two blocks are one child. Headings before the last child taken are taken too. With
+    `only`, no other children than those elements are looked at.
     """
     children: list[tuple[bool, bool, list[Node | str]]] = []
     run: list[Node | str] = []
@@ -272,12 +311,17 @@ def _with_neighbours(node: Node, below: Node, taken: Node, threshold: float) ->
         run.clear()
 
     for c in node.children:
+        if only is not None and c is not below and (isinstance(c, str) or c.tag not in only):
+            continue
         if isinstance(c, str) or c.tag not in BLOCKS and c is not below and not c.dropped:
             run.append(c)
         elif not c.dropped:
             close()
             if c is below:
                 children.append((True, False, [taken]))
+            elif c.chars and only is not None:
+                # Another article need only be prose of about that density.
+                children.append((2 * c.density >= threshold and 2 * c.link_chars <= c.chars, False, [c]))
             elif c.chars:
                 children.append((c.density >= threshold, c.tag in HEADINGS, [c]))
     close()
