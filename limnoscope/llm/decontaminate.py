@@ -8,8 +8,11 @@ with block-max WAND, and all items at or above the threshold are retrieved, with
 if the passage holds 0.8 of its five-word shingles, or 0.8 of those of both its question and its answer.
 
 Without a question and an answer column, an item's last sentence is the answer and the rest the question. Parts with
-fewer words than a shingle are looked up whole. The index is built per block of items of bounded size and sent to all
-tasks; a larger benchmark takes one pass over the documents per block.
+fewer words than a shingle are looked up whole.
+
+Document frequencies, the mean length and the longest item are those of the whole benchmark, found by Spark. Only the
+postings are cut: an index holds a block of items of bounded size, is sent to all tasks and built once per worker, and a
+larger benchmark is met block after block. Scores and leaks are the same at every block size.
 
 Defined results: null and blank texts hold no leak; null and blank items are never found; repeated rows are judged one
 by one, repeated items each count; extra columns stay (one named like `into` is replaced); an empty table on either
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from limnoscope.llm import wordhash
-from limnoscope.llm.rows import free_name
+from limnoscope.llm.rows import free_name, settled
 from limnoscope.llm.wordhash import U
 
 LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double,overlap:double>>"
@@ -44,9 +49,19 @@ class Bm25:
     overlap: float = 0.8
     shingle: int = 5
     block_items: int = 8
-    #: Items and characters of one index, and so of one broadcast.
-    index_items: int = 20_000
-    index_chars: int = 8_000_000
+    #: Items and characters of one index, and so of one broadcast, on average.
+    index_items: int = 4_000
+    index_chars: int = 1_600_000
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 asks of the whole benchmark; `often` holds the items of each word."""
+
+    items: int
+    mean_words: float
+    longest: int
+    often: dict[int, int]
 
 
 def _item_words(text: str) -> np.ndarray:
@@ -68,10 +83,16 @@ def split_item(text: str) -> tuple[str, str]:
     return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, "")
 
 
+def corpus_of(words: list[np.ndarray]) -> Corpus:
+    """The figures of a benchmark that is one block."""
+    often = np.unique(np.concatenate([np.unique(h) for h in words]), return_counts=True) if words else ([], [])
+    return Corpus(len(words), sum(map(len, words)) / max(len(words), 1), max(map(len, words), default=1), {int(t): int(n) for t, n in zip(*often)})
+
+
 class Index:
-    """Postings by word, impacts, block maxima and the shingles to verify with."""
+    """Postings by word, impacts, block maxima and the shingles to verify with, for a block of the benchmark's items."""
 
-    def __init__(self, items: list[tuple[int, str, str, str]], params: Bm25 = Bm25()):
+    def __init__(self, items: list[tuple[int, str, str, str]], params: Bm25 = Bm25(), corpus: Corpus | None = None):
         self.params = params
         self.ids: list[int] = []
         words, self.parts = [], []
@@ -82,18 +103,20 @@ class Index:
                 words.append(h)
                 self.parts.append([_shingles(x, params.shingle) for x in (h, _item_words(question), _item_words(answer))])
         n = len(words)
-        self.longest = max(map(len, words), default=1)
+        corpus = corpus or corpus_of(words)
+        self.longest = corpus.longest
         self.terms = np.unique(np.concatenate(words)) if n else np.zeros(0, U)
-        mean = sum(map(len, words)) / max(n, 1)
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, h in enumerate(words):
             for term, tf in zip(*np.unique(np.searchsorted(self.terms, h), return_counts=True)):
                 found[int(term)].append((k, int(tf)))
-        idf = {t: math.log(1 + (n - len(p) + 0.5) / (len(p) + 0.5)) for t, p in found.items()}
         own = np.zeros(n)
         raw = {}
-        for t, posted in found.items():
-            raw[t] = [(k, idf[t] * tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * len(words[k]) / mean))) for k, tf in posted]
+        # Words in the order of their hashes, so an item's sum is the same in every block.
+        for t in range(len(self.terms)):
+            often = corpus.often[int(self.terms[t])]
+            idf = math.log(1 + (corpus.items - often + 0.5) / (often + 0.5))
+            raw[t] = [(k, idf * tf * (params.k1 + 1) / (tf + params.k1 * (1 - params.b + params.b * len(words[k]) / corpus.mean_words))) for k, tf in found[t]]
             for k, w in raw[t]:
                 own[k] += w
         # Items in the order of their ids; blocks are runs of items.
@@ -154,7 +177,7 @@ class Index:
                 continue
             for k in reach:
                 skip(k, item)
-            score = sum(lists[k][0][cursor[k]][1] for k in reach if current(k) == item)
+            score = sum(lists[k][0][cursor[k]][1] for k in sorted(reach) if current(k) == item)
             if score >= need:
                 out.append((item, score))
             for k in reach:
@@ -216,39 +239,77 @@ class Index:
         return out[0], out[1], out[2]
 
 
-def _item_blocks(benchmark: DataFrame, params: Bm25) -> list[list[tuple[int, str, str, str]]]:
-    """Items in blocks of bounded size, streamed to the driver partition by partition."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, question, answer, n_words, terms) of every item with a word."""
     cols = {c.lower() for c in benchmark.columns}
     parts = ["question", "answer"] if {"question", "answer"} <= cols else []
     whole = F.col("text") if "text" in cols else F.concat_ws("\n", "question", "answer")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole.cast("string").alias("text"), *parts).where("text is not null")
-    out, chars = [[]], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        question, answer = (r.question or "", r.answer or "") if parts else split_item(r.text)
-        if out[-1] and (len(out[-1]) >= params.index_items or chars + len(r.text) > params.index_chars):
-            out.append([])
-            chars = 0
-        out[-1].append((r.item_id, r.text, question, answer))
-        chars += len(r.text)
-    return [b for b in out if b]
+    given = [F.col(p).cast("string").alias(p) for p in parts] or [F.lit(None).cast("string").alias(p) for p in ("question", "answer")]
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole.cast("string").alias("text"), *given).where("text is not null")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                question, answer = (r["question"] or "", r["answer"] or "") if parts else split_item(r["text"])
+                h = _item_words(r["text"])
+                if len(h):
+                    out.append((r["item_id"], r["text"], question, answer, len(h), np.unique(h).view(np.int64)))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "text", "question", "answer", "n_words", "terms"])
+
+    return rows.mapInArrow(run, "item_id long, text string, question string, answer string, n_words long, terms array<long>")
+
+
+def _blocks(benchmark: DataFrame, params: Bm25) -> Iterator[tuple[list[tuple[int, str, str, str]], Corpus]]:
+    """Items block by block, each with the figures of the whole benchmark; the driver holds one block at a time."""
+    items = settled(_items(benchmark))
+    whole = items.agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest"), F.sum(F.length("text")).alias("chars")).first()
+    if not whole.n:
+        return
+    count = max(1, math.ceil(whole.n / params.index_items), math.ceil(whole.chars / params.index_chars))
+    # Equal items fall into one block; a block's words are its own, their counts the benchmark's.
+    placed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int"))
+    often = settled(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    for block in range(count):
+        mine = placed.where(F.col("block") == block)
+        rows = mine.select("item_id", "text", "question", "answer").orderBy("item_id", "text").collect()
+        if rows:
+            known = mine.select(F.explode("terms").alias("term")).distinct().join(often, "term").collect()
+            counts = {r.term % (1 << 64): r.n for r in known}
+            yield [tuple(r) for r in rows], Corpus(whole.n, whole.words / whole.n, whole.longest, counts)
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, params: Bm25 = Bm25(), column: str = "text", into: str = "leaks") -> DataFrame:
     """`docs` with `into`: the items found in the column's whole text, each with its best passage."""
     out = docs.drop(into).withColumn(into, F.expr(f"cast(array() as {LEAKS})"))
-    for items in _item_blocks(benchmark, params):
-        out = _with_block(out, items, params, column, into)
+    for items, corpus in _blocks(benchmark, params):
+        out = _with_block(out, items, corpus, params, column, into)
     return out
 
 
-def _with_block(docs: DataFrame, items: list, params: Bm25, column: str, into: str) -> DataFrame:
-    # At most index_items items and index_chars characters.
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+_built: dict[str, Index] = {}
+
+
+def _index(name: str, sent, params: Bm25) -> Index:
+    """The index of one broadcast, built once per worker process; only the last one is kept."""
+    if name not in _built:
+        _built.clear()
+        items, corpus = sent.value
+        _built[name] = Index(items, params, corpus)
+    return _built[name]
+
+
+def _with_block(docs: DataFrame, items: list, corpus: Corpus, params: Bm25, column: str, into: str) -> DataFrame:
+    # Some index_items items and index_chars characters.
+    sent = docs.sparkSession.sparkContext.broadcast((items, corpus))
+    name = uuid.uuid4().hex
     held = free_name(docs, "found")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("overlap", pa.float64())]))
 
     def run(batches):
-        index = Index(sent.value, params)
+        index = _index(name, sent, params)
         for batch in batches:
             leaks: list[dict] = [{} for _ in range(batch.num_rows)]
             for at, _, data, offsets in wordhash.slices(batch.column(column)):
