@@ -1,15 +1,15 @@
 """Balanced shards by sampled splitters, in column expressions and windows only.
 
-Rows are ordered by (hash of the text, text, doc_id), so equal texts are neighbours and a large group of copies can be
-split between them. Splitters are quantiles of a sample in which a row's chance grows with its size; rows are dealt into
+Rows are ordered by (hash of the text, hash of the row), so equal texts are neighbours and a large group of copies can be
+split between any two of them, repeated rows and rows without an id too. Splitters are quantiles of a sample in which a row's chance grows with its size; rows are dealt into
 the ranges between them, and ranges that came out overfull are subdivided by splitters of their own. With the ranges'
 sizes known, every row's place in the whole order follows from a window inside its range.
 
 Law `bytes`: a row goes to the shard whose share of the running total holds the row's middle. A group of equal texts across such an end
 moves whole to the nearer side if it is at most `whole_group` of a shard; larger groups are split there.
 
-Defined results: a null text has size 1 and crc 0 and is ordered with the empty texts; rows without an id come first
-among equal texts; repeated rows each take a slot of their own; extra columns are not returned; an empty table gives no
+Defined results: a null text has size 1 and crc 0 and is ordered with the empty texts; repeated rows and rows
+without an id each take a slot of their own; extra columns are not returned; an empty table gives no
 rows.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnoscope.llm.rows import settled
 
-#: Rows of one range as wanted, and splitters looked at in one step.
+#: Bytes of one range as wanted, and the most ranges to begin with: beyond, ranges grow instead. A range's task holds 60
+#: bytes a row, not the texts, and splitters, their sample and the ranges' order stay as small as this bound.
 RANGE_BYTES = 4_000_000
+MOST_RANGES = 2_048
 OVERSAMPLE = 24
 OVERFULL = 2.0
 
@@ -69,8 +71,8 @@ def shards(docs: DataFrame, count: int = 8, whole_group: float = 0.01, range_byt
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            # Copies are told apart by a hash of their id, which spreads them evenly.
-            F.xxhash64("doc_id").alias("tie"),
+            # Copies are told apart by a hash of their id and their place in the settled table, which spreads them evenly.
+            F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie"),
         )
     )
     out = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -78,7 +80,7 @@ def shards(docs: DataFrame, count: int = 8, whole_group: float = 0.01, range_byt
     if not total:
         return docs.sparkSession.createDataFrame([], out)
 
-    parts = max(1, math.ceil(total / range_bytes))
+    parts = min(max(1, math.ceil(total / range_bytes)), MOST_RANGES)
     bounds = _splitters(_sample(rows, total, parts * OVERSAMPLE, 1), parts)
     seed = 1
     while True:
