@@ -133,8 +133,9 @@ class Model:
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", params: RuleFit = RuleFit()) -> Model:
     """Rules with a weight, learned from a bounded sample of labelled rows outside the hold-out."""
     picked = labelled.sample(labels, label, params.max_rows)
-    # At most max_rows ids of 16 bytes; the joined sample is small enough for a few tasks.
-    train = settled(stats.join(F.broadcast(picked), "doc_id").coalesce(4))
+    # At most max_rows ids of 16 bytes. The joined sample is dealt to a few tasks by a shuffle of its own, so the
+    # statistics before it are read by as many tasks as they have parts.
+    train = settled(stats.join(F.broadcast(picked), "doc_id").repartition(8, "doc_id"))
     classes = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         return Model(40.0 if 1 in classes else -40.0, ())
