@@ -142,6 +142,36 @@ def template_pages(n, seed):
     return rows
 
 
+def test_near_duplicates_of_small_sets(spark):
+    """Sets of 5 to 20 shingles, whose bins are copies of each other: components equal brute force."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(25):
+        base = [f"f{family}w{i}" for i in range(rng.integers(6, 22))]
+        for k in range(8):
+            words = list(base)
+            for _ in range(rng.integers(0, 3)):
+                words[rng.integers(len(words))] = f"x{rng.integers(4)}"
+            rows.append((len(rows), " ".join(words[: len(words) - rng.integers(0, 2)])))
+    expected, _ = brute_components(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()} == expected
+
+
+def test_signatures_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 700, 5_000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.2, 0.4):
+            changed = np.where(rng.random(n) < share, rng.integers(0, 2**63, n).astype(np.uint64), base)
+            a, b = np.unique(base), np.unique(changed)
+            bits = np.bitwise_count(np.bitwise_xor(*near_dedup.signatures([a, b])).view(np.uint64)).sum()
+            differ = len(np.setxor1d(a, b))
+            assert bits <= differ
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert bits * 180 <= (len(a) + len(b)) * 20
+
+
 def test_near_duplicates_of_one_template(spark):
     rows = template_pages(60, 5)
     expected, _ = brute_components(rows)
@@ -194,6 +224,26 @@ def test_shards(spark, range_bytes):
     assert all(max(p) - min(p) + 1 == len(p) for p in places.values())
 
 
+def test_shards_split_rows_that_are_alike_in_everything(spark):
+    """One text under one id, and rows without an id: ranges are cut between them, shards come out even."""
+    rows = [(7, "same text " * 20, "k", 1)] * 900 + [(None, "same text " * 20, "k", 1)] * 900 + [(k, f"other {k}", "k", 1) for k in range(300)]
+    got = sharding.shards(spark.createDataFrame(rows, SCHEMA), 8, range_bytes=4_000).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == len(rows) and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 201
+    for k in sizes:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_few_ranges_give_even_shards_too(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_RANGES", 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    sizes = [r.bytes for r in sharding.shards(docs, 8, range_bytes=1_000).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "bytes").collect()]
+    longest = max(len((r.text or "").encode()) + 1 for r in docs.collect())
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * longest + 0.02 * sum(sizes) / 8
+
+
 def test_shards_of_nothing(empty):
     assert sharding.shards(empty).count() == 0
 
@@ -343,6 +393,80 @@ PAGE = """<!doctype html><html><head><title>x</title></head><body><header><h1>Si
 <section id=comments><p>A very long reader comment that goes on and on with lots of text.</p></section></main></div><footer>f</footer>"""
 
 
+@pytest.fixture(scope="module")
+def network():
+    """Trained on the fixed examples alone."""
+    codes, tags = pii._labelled(list(pii.EXAMPLES) * 12, pii.Settings().window)
+    return {k: v.astype(np.float32) for k, v in bilstm_crf.train(codes, tags, 1 + 2 * len(pii.KINDS), 120).items()}
+
+
+def test_added_spans_equal_one_stretch_at_a_time(network):
+    """Grouping, padding and merging change nothing: every stretch scored and decoded by itself, spans checked pair by pair."""
+    rng = np.random.default_rng(4)
+    bits = ["call (212) 555-0187 now", "a@b.de and jan (at) mail dot example dot org", 'token = "9f86d081884c7d659a2feaa0c55ad015"', "on 2024-03-05", "paid 4111.1111.1111.1111", "plain words"]
+    texts = ["  ".join(bits[k] for k in rng.integers(0, len(bits), n)) for n in (1, 2, 3, 9, 40)] + ["", "7" * 300]
+    base = [pii.base_spans(t) for t in texts]
+    settings = pii.Settings(cells=700)
+    want = []
+    for text, known in zip(texts, base):
+        found = set()
+        for a, b in pii.stretches(text, settings):
+            (scores,) = pii._scores(network, [text[a:b]], settings.window)
+            tags = [int(x) for x in bilstm_crf.best_paths(network, scores[None], np.array([b - a]))[0]] + [0]
+            at = 0
+            while at < b - a:
+                end = at + 1
+                if tags[at]:
+                    kind = (tags[at] - 1) // 2
+                    while tags[end] == 2 + 2 * kind:
+                        end += 1
+                    s, e = pii._settled_span(text, a + at, a + end, kind)
+                    if s < e and pii._plausible(text[s:e], kind) and all(e <= x or y <= s for x, y, _ in known):
+                        found.add((s, e, kind))
+                at = end
+        want.append(sorted(found, key=lambda s: (s[0], s[2])))
+    assert pii.added_spans(network, texts, base, settings) == want and any(want)
+
+
+def test_a_long_run_of_numbers_takes_bounded_memory(network):
+    import tracemalloc
+
+    text = " ".join(str(k * 7919 % 1000003) for k in range(30_000))
+    tracemalloc.start()
+    pii.added_spans(network, [text, *["ring 030 1234567 soon"] * 511], [[]] * 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 200_000 and peak < 250e6
+
+
+def test_windows_without_spans_hold_what_might_be_one():
+    settings = pii.Settings()
+    (near,) = pii._near("x" * 100 + " on 2024 " + "y" * 100, settings)
+    codes, tags = pii._labelled([near], settings.window)
+    assert not tags.any() and any(c - 0 == bilstm_crf.char_codes("2")[0] for c in codes[0])
+    table = " ".join(f"{k:04d}" for k in range(400))
+    assert len(pii._near(table, settings)) > 20  # one for every window of a long run
+
+
+def test_secrets_of_unseen_documents_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    assigned = {r.doc_id for r in rows if pii.ASSIGNED.search(r.text or "")}
+    model = pii.fit(docs.where(~docs.doc_id.isin(list(assigned)[::2])))
+    found = {r.doc_id for r in pii.digests(docs, model).collect() if "secret:" in r.spans}
+    assert len(found & assigned) >= 0.9 * len(assigned) and len(found - assigned) <= 1
+
+
+def test_written_out_addresses_are_followed_to_their_end():
+    text = "ask jan.meier (at) mail dot example dot org now"
+    start = text.index("(at)")
+    s, e = pii._settled_span(text, start, start + 14, 0)
+    assert text[s:e] == "jan.meier (at) mail dot example dot org"
+    text = 'password="Tr0ub4dor3xYz89qLm"'
+    s, e = pii._settled_span(text, 12, 20, pii.SECRET)
+    assert text[s:e] == "Tr0ub4dor3xYz89qLm"
+
+
 def test_main_text():
     assert html_density.main_text(PAGE) == "Title & more\nOne two three.\nFour five\ni1\ni2"
     assert html_density.main_text("<p>just <b>bold</b> &lt; text") == "just bold < text"
@@ -370,6 +494,72 @@ def test_dense_neighbours_and_their_headings_are_kept():
     assert lengths(f"<body><div><h1>Ten letter</h1>{section('a', 400)}{section('b', 300)}</div></body>") == [10, 400, 400, 400, 300, 300, 300]
 
 
+def test_forms_and_names_around_all_text_keep_it():
+    prose, menu = section("a", 100), "<div class=menu><ul><li><a>one</a><li><a>two</a></ul></div>"
+    whole = [100, 100, 100]
+    assert lengths(f"<body><form id=aspnetForm>{menu}<label>Search</label><input><article>{prose}</article></form></body>") == whole
+    for name in ("class=social", "id=side", "class='page comments'"):
+        assert lengths(f"<body>{menu}<div {name}>{prose}</div><p>by us</p></body>") == whole
+    assert lengths(f"<body>{prose}<form><label>Mail</label><p>{'f' * 90}</p></form><div class=comments><p>{'c' * 200}</p></div></body>") == whole
+    assert lengths(f"<body><article>{prose}</article><article>{section('b', 80)}</article><div><p>{'x' * 60}</p></div></body>") == [*whole, 80, 80, 80]
+
+
+def test_zero_width_space_is_no_space():
+    assert html_density.main_text("<p>foo\u200bbar  baz\u00a0x</p>") == "foo\u200bbar baz x"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    took = {}
+    for n in (4_000, 16_000):
+        begin = time.perf_counter()
+        assert html_density.main_text("<b>" * n + "<p>x</p>" * n).count("x") == n
+        assert "deep" in html_density.main_text("<div class=a-side>" * n + "<header>h</header><article>deep</article>")
+        took[n] = time.perf_counter() - begin
+    assert took[16_000] < 10 * took[4_000] + 1
+
+
+def test_densities_equal_plain_arithmetic():
+    import math
+    from xml.etree import ElementTree
+
+    page = f"<body><div><h1>Title here</h1><p>{'a' * 80} <a>link text</a> {'b' * 30}</p><p>{'c' * 50}</p></div><ul><li><a>one</a></li><li><a>two</a></li></ul></body>"
+    size = lambda text: len(re.sub(r"\s+", "", text or ""))
+
+    def plain(e):
+        chars = size("".join(e.itertext()))
+        below = [x for x in e.iter() if x is not e]
+        links = [x for x in e.iter() if x.tag == "a"]
+        return chars, max(len(below), 1), max(sum(size("".join(x.itertext())) for x in links), 1), max(sum(x is not e for x in links), 1)
+
+    tree = ElementTree.fromstring(page)
+    body_chars, _, body_links, _ = plain(tree)
+    expected = []
+    for e in tree.iter():
+        c, t, lc, lt = plain(e)
+        linked = sum(size("".join(x.itertext())) for x in e.iter("a"))
+        base = max(math.log(c * lc / max(c - linked, 1) + body_links / body_chars * c + math.e), 1.0001)
+        expected.append((e.tag, c / t * math.log(c * t / (lc * lt) + 1, base)))
+    builder = html_density.Builder()
+    builder.feed(page)
+    body = builder.root.children[0]
+    html_density._measure(body)
+    got = [(n.tag, n.density) for n in html_density._below(body)]
+    assert [t for t, _ in sorted(got)] == [t for t, _ in sorted(expected)]
+    assert [d for _, d in sorted(got)] == pytest.approx([d for _, d in sorted(expected)])
+    sums = {id(n): n.total for n in html_density._below(body)}
+    own = sum(c.density for c in body.children if not isinstance(c, str))
+    assert sums[id(body)] == pytest.approx(own)
+
+
+def test_page_frames(spark, empty):
+    pages = spark.createDataFrame([(1, "u", f"<p>{'w ' * 100_000}</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    (row,) = html_density.extract(pages).collect()
+    assert row.asDict().keys() == {"page_id", "url", "text", "n_chars"} and row.n_chars == 199_999
+    assert html_density.extract(pages.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = html_density.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
@@ -412,6 +602,22 @@ def test_leaks(spark, odd, empty):
     assert {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text} <= got
     split = decontaminate.leaks(docs, benchmark, decontaminate.Bm25(index_items=7, threshold=0.5))
     assert {(r.doc_id, r.item_id) for r in split.collect()} >= got
+    # The same rows, scores included, at every block size.
+    whole = sorted(map(tuple, decontaminate.leaks(docs, benchmark).collect()))
+    for cut in ({"index_items": 1}, {"index_items": 9}, {"index_chars": 3_000}):
+        assert sorted(map(tuple, decontaminate.leaks(docs, benchmark, decontaminate.Bm25(**cut)).collect())) == whole
+    # No false ones: of every leak, the text holds 0.8 of the item's shingles or of both its parts.
+    texts, by_id = {r.doc_id: r.text for r in docs.collect()}, dict(items)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    for doc_id, item_id in got:
+        ours = words(texts[doc_id])
+        shares = []
+        for part in (by_id[item_id], *decontaminate.split_item(by_id[item_id])):
+            n = min(5, len(words(part)))
+            wanted = {tuple(words(part)[i : i + n]) for i in range(len(words(part)) - n + 1)} if n else set()
+            held = {tuple(ours[i : i + n]) for i in range(len(ours) - n + 1)}
+            shares.append(len(wanted & held) / len(wanted) if wanted else 1.0)
+        assert shares[0] >= 0.8 or min(shares[1:]) >= 0.8
     assert decontaminate.leaks(odd, benchmark).count() == 0 and decontaminate.leaks(empty, benchmark).count() == 0
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
@@ -454,6 +660,25 @@ def test_snapshots(spark):
     assert [r.turn_no for r in sorted(got[8], key=lambda r: r.turn_no)] == list(range(1, 601))
     assert len(got[6]) == 2 and sorted(r.rendered for r in got[6])[0] == "<|assistant|>\nb<|end|>\n"
     assert chat_collapse.maximal_turns(frame.limit(0)).count() == 0
+    # Columns with the operator's own names are not looked at.
+    wide = frame.selectExpr("*", "'x' as part", "1 as n_turns", "2 as block", "3 as id")
+    assert sorted(map(str, chat_collapse.maximal_turns(wide).collect())) == sorted(map(str, chat_collapse.maximal_turns(frame).collect()))
+
+
+def test_crowded_blocks_of_turns_are_cut(spark):
+    """Rows without an id and a conversation with few turn numbers: cut or not, every turn keeps its place."""
+    from limnoscope.llm import chat_collapse
+
+    rng = np.random.default_rng(8)
+    rows = [(None, int(k % 3) if k % 7 else None, "user" if k % 2 else None, f"text {k}" if k % 11 else None) for k in range(900)]
+    rows += [(1, 5, "user", f"{'same start ' * 30}{k}") for k in range(300)] + [(2, 5, "user", f"{'same start ' * 30}{k}") for k in range(299)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, chat_collapse.maximal_turns(frame).collect()))
+    assert sorted(map(str, chat_collapse.maximal_turns(frame, crowded=50).collect())) == whole
+    turns, blocks = chat_collapse.hashed_turns(frame, 50)
+    sizes = turns.where("conv_id is null").groupBy("block", "part").count().collect()
+    assert blocks.where("conv_id is null").count() == len(sizes) > 30 and max(r["count"] for r in sizes) <= 100
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
