@@ -32,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from limnoscope.llm.rows import free_name
 
 SPACE = "▁"
-#: Characters of chunks that a worker remembers: some 100 MB with their ids.
-REMEMBERED = 2_000_000
+#: Characters of chunks that a worker remembers: some 130 MB with their ids.
+REMEMBERED = 4_000_000
 #: Ids in a batch of results.
 BATCH_IDS = 200_000
 
