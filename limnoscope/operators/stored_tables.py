@@ -19,6 +19,8 @@ from limnoscope.session import cut_lineage
 
 ROWS, FILES = "rows", "files"
 BUCKET = "_bucket"
+#: Letters of searched text whose parts go to one file: folding and sorting them takes some 100 MB of a task.
+FILE_LETTERS = 1_000_000
 
 
 # --- pages ---------------------------------------------------------------------------------------------------
@@ -64,12 +66,26 @@ def _parts(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
 
 
+def search_parts(table: DataFrame, key: str, columns: Sequence[str], files: int | None = None) -> DataFrame:
+    """Distinct (part, key) of the searched columns, sorted by part. A part of very many rows is split over tasks.
+
+    A file of narrow rows is one split, so the rows are dealt out before they are cut up, and parts are folded only in the
+    range of (part, key) that they belong to. There are as many ranges as the texts need, so none grows with the table.
+    """
+    rows = table.select(F.col(key), F.array(*[F.col(c).cast("string") for c in columns]).alias("_texts"))
+    dealt = rows.repartition(key, "_texts").distinct()
+    texts = dealt.select(key, F.explode("_texts").alias("_text")).where(F.length("_text") >= 3)
+    parts = texts.select(key, F.explode(_parts(F.col("_text"))).alias("part"))
+    if files is None:
+        letters = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
+        files = 1 + letters // FILE_LETTERS
+    spread = parts.repartitionByRange(files, "part", key)
+    return spread.distinct().sortWithinPartitions("part", key)
+
+
 def write_search_parts(table: DataFrame, path: str, key: str, columns: Sequence[str], files: int | None = None) -> None:
-    """(part, key) of the searched columns, sorted by part. A part of very many rows is split over files."""
-    texts = table.select(key, F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("_text")).where(F.length("_text") >= 3)
-    parts = texts.select(key, F.explode(_parts(F.col("_text"))).alias("part")).distinct()
-    spread = parts.repartitionByRange(files, "part", key) if files else parts.repartitionByRange("part", key)
-    spread.sortWithinPartitions("part", key).write.parquet(path)
+    """The table of `search_parts`, written."""
+    search_parts(table, key, columns, files).write.parquet(path)
 
 
 def term_parts(term: str) -> list[str]:
@@ -88,7 +104,9 @@ def search_by_parts(table: DataFrame, parts_path: str, key: str, columns: Sequen
     if not wanted:
         return tables.search(table, term, columns)
     parts = table.sparkSession.read.parquet(parts_path).where(F.col("part").isin(*wanted))
-    holding = parts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted)).select(key)
+    # A common part names very many rows in few files; they are dealt out before they are counted.
+    dealt = parts.where(F.col(key).isNotNull()).repartition(key)
+    holding = dealt.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted)).select(key)
     return table.join(holding, key, "left_semi").where(any_column_contains(columns, term))
 
 

@@ -46,6 +46,28 @@ def test_search_finds_what_a_scan_finds(spark, tmp_path, term):
     assert sorted(got) == sorted(tables.search(table, term, ["name"]).select("k").collect())
 
 
+def test_parts_are_folded_in_their_own_ranges(spark, tmp_path, monkeypatch):
+    """No task gathers parts before the rows are dealt out: neither where parts are made nor where they are counted."""
+    path, source = str(tmp_path / "parts"), str(tmp_path / "people")
+    rows = people(spark).unionByName(people(spark).withColumn("name", F.lit("NAME-1 again"))).unionByName(people(spark, 50))
+    rows.unionByName(rows.limit(3).withColumn("k", F.lit(None).cast("long"))).coalesce(1).write.parquet(source)
+    table = spark.read.parquet(source)
+    stored_tables.write_search_parts(table, path, "k", ["name"], files=3)
+    stored = spark.read.parquet(path)
+    want = {(r.k, r.name.lower()[i : i + 3]) for r in table.collect() for i in range(len(r.name) - 2)}
+    assert stored.count() == len(want) and {(r.k, r.part) for r in stored.collect()} == want
+    found = stored_tables.search_by_parts(table, path, "k", ["name"], "name-1")
+    assert sorted(r.v for r in found.collect()) == sorted(r.v for r in tables.search(table, "name-1", ["name"]).where("k is not null").collect())
+    made = stored_tables.search_parts(table, "k", ["name"])
+    monkeypatch.setattr(stored_tables, "FILE_LETTERS", 1_000)
+    assert stored_tables.search_parts(table, "k", ["name"]).rdd.getNumPartitions() > 5
+    for plan in (made, found):
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [k for k, line in enumerate(lines) if "FileScan" in line and (plan is made or "part#" in line)]
+        above = [next(line for line in lines[k::-1] if "Exchange" in line or "Aggregate" in line) for k in scans]
+        assert above and all("Exchange" in line for line in above)
+
+
 def stamps(path):
     return {d: [f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")] for d in os.listdir(path) if d.startswith("_bucket=")}
 
