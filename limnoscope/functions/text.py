@@ -13,8 +13,9 @@ _PLAIN = "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 
 def strip_accents(text: Column) -> Column:
-    """Plain letters; any other character beyond ASCII is dropped."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Plain letters; any other character beyond ASCII is dropped. Most texts have none and are left as they are."""
+    plain = F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 def name_key(name: Column) -> Column:

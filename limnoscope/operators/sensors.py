@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType
 
 from limnoscope.functions import temporal
 from limnoscope.functions.numeric import lenient_double
@@ -35,7 +36,9 @@ def to_sensor_rows(
         elif field.name in constants:
             value = constants[field.name]
         elif field.name in df.columns:
-            value = lenient_double(F.col(field.name).cast("string"))
+            # What is a number already is taken as it is; text is read.
+            number = df.schema[field.name].dataType == DoubleType()
+            value = F.col(field.name) if number else lenient_double(F.col(field.name).cast("string"))
         else:
             value = F.lit(None)
         columns.append(value.cast(field.dataType).alias(field.name))

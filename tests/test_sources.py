@@ -128,3 +128,17 @@ def test_sensor_append(spark, tmp_path):
     for _ in range(2):
         sinks.append_sensor_rows(rows, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).where(F.col("reservoir_code") == "R1").count() == 2
+
+
+def test_each_pattern_of_a_page_is_matched_once(spark):
+    """Nothing is matched again for a second use, and odd cells give what they gave."""
+    texts = ["", "-", "sin dato", "NaN", "inf", "1e3", " 7,25 ", "4d", "0x1p3", "1.234,5", "<b>8</b>", "&nbsp;9"]
+    rows = "".join(f"<tr><td>05-03-2024 10:00:{k:02d}</td><td>{t}</td><td class=f1>{k}</td></tr>" for k, t in enumerate(texts))
+    head = "<tr><th>Fecha</th><th>Fico<i>cianin</i>a µg</th><th>Profundidad m&aacute;xima embalse (m)</th></tr>"
+    found = html_tables.sensor_rows(pages(spark, f"<table><tr><td>x</td></tr></table><table>{head}{rows}</table>"))
+    got = {r.row_no: (r.phycocyanin, r.depth) for r in found.collect()}
+    want = {4: float("inf"), 5: 1000.0, 6: 7.25, 7: 4.0, 10: 8.0, 11: 9.0}
+    assert {k: str(v) for k, (v, _) in got.items() if k != 8} == {k: str(v) for k, v in want.items()}
+    assert all(depth == k for k, (_, depth) in got.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<table\\b") == 1 and plan.count("<tr\\b") == 2 and plan.count("<t([hd])\\b") == 3
