@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,58 @@ def test_time_series_learns_from_the_past_only(spark):
 
 def test_no_rows(spark):
     assert forests.fit_forests(calibrations(spark).limit(0), ["x", "z"], GRID).metrics.count() == 0
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+
+
+def test_deep_trees_of_few_rows_need_no_more_jobs(spark):
+    """Each row halves what is left, so trees of 40 rows are far deeper than those of 18."""
+    schema, jobs = "reservoir_id int, variable string, date string, y_true double, x double, part int", []
+    grid = forests.ForestGrid(trees=(3,), depths=(None,), leaf_rows=(1,))
+    for n in (18, 40):
+        parts = spark.createDataFrame([(1, "a", f"{k}", float(2**k), float(k), k % 3) for k in range(n)], schema)
+        jobs.append(jobs_of(spark, f"forests-{n}", lambda: forests.fit_forests(parts, ["x"], grid).scores.count()))
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("least", (0, 8))
+def test_large_and_small_nodes_grow_alike(spark, monkeypatch, least):
+    """Down by a job per level to the leaves, or until `least` rows are left, against whole trees in one task."""
+    parts = calibrations(spark)
+    whole = forests.fit_forests(parts, ["x", "z"], GRID)
+    monkeypatch.setattr(forests, "NODE_ROWS", least)
+    parted = forests.fit_forests(parts, ["x", "z"], GRID)
+    key = ("reservoir_id", "variable", "candidate", "part")
+    scores = [{tuple(s[c] for c in key): (s.n, s.r2, s.rmse, s.mae) for s in f.scores.collect()} for f in (whole, parted)]
+    assert scores[0].keys() == scores[1].keys() and all(scores[0][k] == pytest.approx(scores[1][k]) for k in scores[0])
+    nodes = [{(n.tree, n.node): (n.level, n.predictor, n.cut, pytest.approx(n.value)) for n in f.nodes.collect()} for f in (whole, parted)]
+    assert nodes[0] == nodes[1] and len(nodes[0]) == parted.nodes.count() and len({n[0] for n in nodes[0]}) == 2 * 4 * 7 * 2
+    predictions = [{(p.reservoir_id, p.variable, p.date): (p.set, pytest.approx(p.y_pred)) for p in f.predictions.collect()} for f in (whole, parted)]
+    assert predictions[0] == predictions[1]
+
+
+@pytest.mark.parametrize("at_once", (1, 4, 100))
+def test_no_node_is_cut_between_batches(monkeypatch, at_once):
+    monkeypatch.setattr(forests, "TASK_ROWS", at_once)
+    tree, node = [1] * 5 + [2] * 7 + [2] * 1 + [3] * 2, [1] * 5 + [4] * 7 + [5] * 1 + [1] * 2
+    rows = pa.table({"tree": tree, "node": node, "k": range(15)})
+    got = [(t["k"].to_pylist(), r.tolist()) for t, r in forests._whole_nodes(iter(rows.to_batches(max_chunksize=3)))]
+    assert [k for ks, _ in got for k in ks] == list(range(15))
+    seen = [{(tree[k], node[k]) for k in ks} for ks, _ in got]
+    assert all(not a & b for i, a in enumerate(seen) for b in seen[i + 1 :])
+    assert all(len(set(r)) == len({(tree[k], node[k]) for k in ks}) and r == sorted(r) for ks, r in got)
+
+
+def test_gains_round_as_spark_rounds_them(spark):
+    gains = [985.7245140625, 985.7245140624999, 985.7245140624982, 0.0000000005, 1.4e-9, 63.0000000005, 62.9999999995, 13467.3123765625, 4000000.1234567885, 2.5e8, 1e30]
+    gains += [k / 1024 + 2**-11 * (k % 2) + k * 5e-10 for k in range(1, 400)]
+    want = [r[0] for r in spark.createDataFrame([(g,) for g in gains], "g double").select(F.round("g", 9)).collect()]
+    assert forests._rounded(np.array(gains)).tolist() == want
